@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, line_dedup, quality, token_counts, token_files
+from . import chat_format, decontaminate, html_extract, language_id, line_dedup, near_dedup, packing, quality, token_counts, token_files
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(table(spark, sf_dir, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,15 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(rows.unionByName(probe)).drop("valid")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_decontaminate, op4_token_counts, op5_quality, op6_language_id, op7_line_dedup, op8_chat_format)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_files, op3_decontaminate, op4_token_counts, op5_quality, op6_language_id, op7_line_dedup, op8_chat_format, op9_near_dedup, op10_packing)}
 
 ORACLES = {
     "op3_decontaminate": r"""
