@@ -70,12 +70,14 @@ def with_columns_from(
     text_col: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[list[str | None]], list[pa.Array]]],
+    keep_text: bool = True,
 ) -> DataFrame:
     """Add columns computed in Python from one text column, in one narrow pass.
 
     ``make`` runs once per task and returns a function from a list of texts to one
     Arrow array per field.  An input column named like a new field (in any case)
-    is replaced.  Every other column passes through unchanged.
+    is replaced.  Every other column passes through unchanged; the text does not come
+    back from Python unless ``keep_text``.
     """
     new = {f.name.lower() for f in fields}
     keep = [c for c in df.columns if c.lower() not in new]
@@ -83,7 +85,9 @@ def with_columns_from(
         raise ValueError(f"the text column {text_col!r} has the name of a result column")
     base = df.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index(text_col)
-    schema = T.StructType([*base.schema.fields, *fields])
+    back = [k for k in range(len(keep)) if keep_text or k != at]
+    schema = T.StructType([*[base.schema.fields[k] for k in back], *fields])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -92,7 +96,7 @@ def with_columns_from(
             for a, b in sliced(texts):
                 extra = work(texts[a:b])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*keep, *[f.name for f in fields]])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in back], *extra], names=names)
 
     return base.mapInArrow(run, schema)
 
