@@ -14,9 +14,11 @@ How it stays linear in the size of a group, without losing a link:
 3. Components of these links.  In buckets that still hold several components, the
    other pairs of different components are tried: the bucket is cut into blocks of
    about ``BLOCK`` members, block pairs are dealt out over tasks, and a pair of
-   members is passed on only if its signatures agree well enough (six standard
-   deviations below the threshold) and this is the first band that they share.  Full
-   sets decide again, and the components are joined once more.
+   members is passed on only if it passes an exact bound and this is the first band
+   that they share.  The bound: each set has a bitmap of ``PARITY`` bits, of which
+   each item flips one, so two bitmaps differ in no more bits than their sets differ
+   in items.  Near misses end there, without a row.  Full sets decide again, and the
+   components are joined once more.
 
 Shingles are 64-bit hashes; classes are told apart by 128 bits.  With 24 bands of 4
 values, a pair right at 0.85 shares no band with probability 2e-8, at 0.8 with 3e-6.
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from ._shared import SLICE_BYTES, mix64, staged, two_columns, with_columns_from
 
-SHINGLE, PERMUTATIONS, ROWS, BLOCK = 5, 48, 4, 256
+SHINGLE, PERMUTATIONS, ROWS, BLOCK, PARITY = 5, 48, 4, 1024, 2048
 BANDS = 2 * PERMUTATIONS // ROWS
 
 _BASE = 0x100000001B3 * 2 + 1  # odd, so that it has an inverse modulo 2**64
@@ -128,8 +130,16 @@ def bands_of(signs: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def parities(sets: list[np.ndarray], bits: int = PARITY) -> np.ndarray:
+    """A bitmap per set, of which each item flips one bit: (sets, bits / 8) bytes."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (np.concatenate(sets) >> np.uint64(40)) % np.uint64(bits)
+    counts = np.bincount(owner * bits + place.astype(np.int64), minlength=len(sets) * bits)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(len(sets), bits), axis=1)
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    fields = [T.StructField(c, t) for c, t in (("n_shingles", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("signature", T.BinaryType()))]
+    fields = [T.StructField(c, t) for c, t in (("n_shingles", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("parity", T.BinaryType()))]
 
     def make():
         def work(texts):
@@ -137,31 +147,34 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             sizes = np.asarray([len(s) for s in sets], np.int64)
             full = [s for s in sets if len(s)]
             k1, k2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-            bands, signs = [[]] * len(sets), [b""] * len(sets)
+            bands, bits = [[]] * len(sets), [b""] * len(sets)
             if full:
                 at = np.cumsum([0, *map(len, full)])[:-1]
                 values, has = np.concatenate(full), np.flatnonzero(sizes)
                 k1[has] = np.add.reduceat(mix64(values + np.uint64(1)), at)
                 k2[has] = np.add.reduceat(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), at)
-                made = signatures(full)
-                keys = bands_of(made).view(np.int64)
+                keys, flips = bands_of(signatures(full)).view(np.int64), parities(full)
                 for j, row in enumerate(has.tolist()):
-                    bands[row], signs[row] = keys[j], made[j].tobytes()
-            return [pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
+                    bands[row], bits[row] = keys[j], flips[j].tobytes()
+            return [pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
 
         return work
 
-    return with_columns_from(docs, "text", fields, make).drop("text")
+    return with_columns_from(docs, "text", fields, make, keep_text=False)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold; sets are made anew for the documents in question alone."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The sets of the documents in ``ids``, made anew from their texts."""
 
     def make():
         return lambda texts: [pa.array([s.view(np.int64) for s in shingle_sets(texts, size)], pa.list_(pa.int64()))]
 
-    sets = staged(with_columns_from(docs.join(ids, "doc_id", "left_semi"), "text", [T.StructField("items", T.ArrayType(T.LongType()))], make).drop("text"), "shingle-sets")
+    found = docs.join(ids, "doc_id", "left_semi")
+    return staged(with_columns_from(found, "text", [T.StructField("items", T.ArrayType(T.LongType()))], make, keep_text=False), "shingle-sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the threshold."""
     one, two = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("su")), sets.select(F.col("doc_id").alias("v"), F.col("items").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
     found = pairs.join(one, "u").select("u", "v", "su").join(two, "v").select("u", "v", both.alias("both"), (F.size("su") + F.size("sv")).alias("sum"))
@@ -189,29 +202,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) inside block pairs whose labels differ and whose signatures agree."""
-    total = 2 * PERMUTATIONS
-    t = percent / 100
-    least = total * t - 6 * (total * t * (1 - t)) ** 0.5
+    """Pairs (u, v) inside block pairs whose labels differ and whose bitmaps allow a link."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks)
     dealt = rows.select("*", block.alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    dealt = dealt.select("band", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "no", "b", "node", "label", "n_shingles", "signature")
+    dealt = dealt.select("band", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "no", "b", "node", "label", "n_shingles", "bands", "parity")
     dealt = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
 
     def pairs(group: pa.Table):
         lo, hi, no = (group.column(c)[0].as_py() for c in ("lo", "hi", "no"))
         b, node, label, n = (group.column(c).to_numpy() for c in ("b", "node", "label", "n_shingles"))
-        signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(b), total)
+        keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(b), BANDS)
+        bits = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(len(b), PARITY // 64)
         one, two = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
         us, vs = [], []
         for i in one:
             others = two[two > i] if lo == hi else two
-            others = others[(label[others] != label[i]) & (np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i]))]
-            same = signs[others] == signs[i]
-            others, same = others[keep := same.sum(1) >= least], same[keep]
-            shared = same.reshape(len(others), total // ROWS, ROWS).all(2)
-            others = others[shared.argmax(1) == no] if len(others) else others
+            others = others[label[others] != label[i]]
+            flips = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+            sizes = n[others] + n[i]
+            others = others[(100 + percent) * np.maximum(flips, np.abs(2 * n[i] - sizes)) <= (100 - percent) * sizes]
+            others = others[(keys[others] == keys[i]).argmax(1) == no] if len(others) else others
             us += [node[i]] * len(others)
             vs += node[others].tolist()
         return us, vs
@@ -245,7 +256,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = reps.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("no", "band"))
     buckets = staged(members.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
     met = staged(members.join(buckets, "band").filter("node <> pivot"), "bucket-members")
-    first = _confirmed(docs, met.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), percent, shingle)
+    tried = met.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    sets = _full_sets(docs, met.select(F.explode(F.array("node", "pivot")).alias("doc_id")).distinct(), shingle)
+    first = _confirmed(sets, tried, percent)
     labels = components(first)
 
     # Buckets in which members beside the smallest are in different components.
@@ -253,8 +266,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = staged(named, "bucket-labels")
     open_ = staged(named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high").select("band", "m"), "open-buckets")
     rest = named.join(open_, "band")
-    signs = sigs.select(F.col("doc_id").alias("node"), "n_shingles", "signature")
-    second = _confirmed(docs, staged(_block_pairs(rest.join(signs, "node"), percent), "pairs"), percent, shingle)
+    signs = sigs.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "parity")
+    second = _confirmed(sets, _block_pairs(rest.join(signs, "node"), percent), percent)
     if second.limit(1).count():
         a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "uv")
         bridges = second.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))

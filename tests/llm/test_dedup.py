@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -113,6 +114,29 @@ def test_star_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in rows} == groups(docs, 85)
 
 
+def test_bitmaps_bound_the_difference():
+    sets = near_dedup.shingle_sets([t for _, t in near_docs(4, 40)])
+    bits = near_dedup.parities(sets)
+    for a in range(len(sets)):
+        for b in range(a):
+            assert np.unpackbits(bits[a] ^ bits[b]).sum() <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
+
+
+def test_small_blocks(spark, monkeypatch):
+    """Buckets of several blocks, in which near misses are many, lose no link."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    docs = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            words[at] = rng.choice([f"x{k}-{at}", "same"])
+        docs.append((k, " ".join(words)))
+    rows = near_dedup.near_components(cases.frame(spark, docs), percent=85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == groups(docs, 85)
+
+
 def test_near_edges(spark):
     rows = near_dedup.near_components(cases.frame(spark), percent=85).collect()
     assert len(rows) == len(cases.ROWS)
