@@ -55,6 +55,8 @@ ZONE_WORDS = {
     "share": "share sharing social follow byline-share print tags tagcloud",
 }
 _ZONE_OF = {w: zone for zone, words in ZONE_WORDS.items() for w in words.split()}
+#: Words of a class or id that name content.
+CONTENT_WORDS = frozenset("article content entry main post story text".split())
 #: These begin content, whatever was left open before them.
 CONTENT_TAGS = frozenset({"article", "main"})
 
@@ -74,7 +76,12 @@ def _zone(name: str, attributes: str) -> str | None:
         if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
             return "hidden"
         for word in _WORD.findall(value.replace("_", "-")):
-            found = _ZONE_OF.get(word) or next((z for p in _PART.findall(word) if (z := _ZONE_OF.get(p))), None)
+            parts = _PART.findall(word)
+            if parts[0] in ("has", "with", "no") or "with" in parts:
+                continue  # says what stands beside it
+            found = _ZONE_OF.get(word) or next((z for p in parts if (z := _ZONE_OF.get(p))), None)
+            if found == "header" and CONTENT_WORDS.intersection(parts):
+                continue  # the heading of an article
             if found:
                 return found
     return zone
@@ -292,4 +299,4 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
         return work
 
-    return with_columns_from(base, "html", [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], make).drop("html")
+    return with_columns_from(base, "html", [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], make, keep_text=False)

@@ -15,7 +15,7 @@ ARTICLE = "<h1>A  title &amp; more</h1><p>one two three\nfour <b>five</b> six &l
 WANT = "A title & more\n\none two three four five six <tag> seven\n\neight nine ten eleven twelve thirteen fourteen\n\nfifteen sixteen seventeen"
 BEFORE = "<!DOCTYPE html><html><head><title>No title</title><style>p{}</style><script>var a='</p>';</script></head><body><header><a href='/'>Site</a> motto</header><nav><ul><li><a href='/a'>Home</a></li></ul></nav><!-- <p>gone</p> -->"
 AFTER = "<aside><p>side words that go on and on for a while</p></aside><section id='comments'><p>what a good read that was, thank you very much</p></section><form>mail <input><button>send it</button></form><footer>&copy; all rights reserved</footer>"
-SHELLS = ["<article>{}</article>", "<main><div>{}</div></main>", "<div id='content'>{}</div>", "<div>{}</div>", "{}"]
+SHELLS = ["<article>{}</article>", "<main><div>{}</div></main>", "<div id='content'>{}</div>", "<div class='layout with-sidebar'><div class='post-header'></div>{}</div>", "<div>{}</div>", "{}"]
 
 
 @pytest.mark.parametrize("shell", SHELLS)
