@@ -119,8 +119,8 @@ def activate(catalog: DataFrame, state: DataFrame, id_: str) -> DataFrame:
 
 def with_usage(catalog: DataFrame, log: DataFrame) -> DataFrame:
     """use_count and last_used from a usage log (id, ts); combined per id before the join."""
-    used = log.groupBy("id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    return catalog.drop("use_count", "last_used").join(used, "id", "left").withColumns({"use_count": F.coalesce("n", F.lit(0)).cast("long"), "last_used": F.col("last")}).drop("n", "last")
+    used = log.groupBy("id").agg(F.count("*").alias("use_count"), F.max("ts").alias("last_used"))
+    return catalog.drop("use_count", "last_used").join(used, "id", "left").withColumn("use_count", F.coalesce("use_count", F.lit(0)).cast("long"))
 
 
 def topics_distinct(catalog: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
@@ -42,10 +42,11 @@ class Settling(StatefulProcessor):
     """Counts equal texts per key; emits one answer, or a timeout row at the deadline.
 
     State is (last text, count, done); rows of a micro-batch are sorted by (ts, seq)
-    before they count.  The deadline runs on processing time from the first row.
+    before they count.  The deadline runs on processing time from the first row; with
+    None there is no deadline, as for a replay.
     """
 
-    def __init__(self, k: int = SESSION, deadline: int = DEADLINE):
+    def __init__(self, k: int = SESSION, deadline: int | None = DEADLINE):
         self.k, self.deadline = k, deadline
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -53,13 +54,14 @@ class Settling(StatefulProcessor):
         fields = [StructField("text", StringType()), StructField("n", IntegerType()), StructField("done", IntegerType())]
         self.state = handle.getValueState("run", StructType(fields))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values(["ts", "seq"])
         if self.state.exists():
             text, n, done = self.state.get()
         else:
             text, n, done = None, 0, 0
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.deadline * 1000)
+            if self.deadline is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.deadline * 1000)
         for row in new.itertuples():
             if done:
                 break
@@ -73,7 +75,7 @@ class Settling(StatefulProcessor):
                 yield pd.DataFrame({"key": [key[0]], "text": [text], "ts": [row.ts], "status": ["success"]})
         self.state.update((text, n, done))
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.state.exists() and not self.state.get()[2]:
             text, n, _ = self.state.get()
             self.state.update((text, n, 1))
@@ -83,9 +85,10 @@ class Settling(StatefulProcessor):
         pass
 
 
-def answer_stream(obs: DataFrame, k: int = SESSION, deadline: int = DEADLINE) -> DataFrame:
+def answer_stream(obs: DataFrame, k: int = SESSION, deadline: int | None = DEADLINE) -> DataFrame:
     """The settled answer per key, as soon as it has settled."""
-    return obs.groupBy("key").transformWithStateInPandas(statefulProcessor=Settling(k, deadline), outputStructType=ANSWER, outputMode="Append", timeMode="ProcessingTime")
+    mode = "None" if deadline is None else "ProcessingTime"
+    return obs.groupBy("key").transformWithStateInPandas(statefulProcessor=Settling(k, deadline), outputStructType=ANSWER, outputMode="Append", timeMode=mode)
 
 
 def _folder(spark: SparkSession) -> str:
@@ -117,4 +120,4 @@ def drain_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drain_answers(spark: SparkSession, path: str) -> DataFrame:
-    return drain(answer_stream(events_stream(spark, path)), "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return drain(answer_stream(events_stream(spark, path), deadline=None), "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

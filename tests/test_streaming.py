@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillstone.operators import answers, sessions
@@ -23,3 +24,52 @@ def test_answers(spark, sf_dir):
     got = {(r.key, r.text, r.ts) for r in live.drain_answers(spark, f"{sf_dir}/events.parquet").filter("status = 'success'").collect()}
     batch = answers.stable(answers.usable(bindings.observations(spark, sf_dir)), answers.SESSION)
     assert got == {(r.key, r.text, r.ts) for r in batch.collect()}
+
+
+class Fake:
+    """Enough of a state-store handle for the processor."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def polls(texts, begin=0):
+    return pd.DataFrame({"ts": [pd.Timestamp(begin + k, unit="s") for k in range(len(texts))], "seq": range(len(texts)), "text": texts, "thinking": [t == "..." for t in texts]})
+
+
+def test_settling_over_batches():
+    fake, one = Fake(), live.Settling(3, 120)
+    one.init(fake)
+    assert list(one.handleInputRows((1,), iter([polls(["A", "...", "A"]).iloc[::-1]]), fake)) == []
+    assert fake.timers == [121_000]
+    (out,) = one.handleInputRows((1,), iter([polls(["A ", "A"], 10)]), fake)
+    assert out.iloc[0][["key", "text", "status"]].tolist() == [1, "A", "success"] and out.ts[0] == pd.Timestamp(10, unit="s")
+    assert list(one.handleExpiredTimer((1,), fake, None)) == []
+    assert list(one.handleInputRows((1,), iter([polls(["B"] * 5, 20)]), fake)) == []
+
+
+def test_settling_times_out():
+    fake, one = Fake(), live.Settling(3, 120)
+    one.init(fake)
+    assert list(one.handleInputRows((7,), iter([polls(["A", "B", "A", "B"])]), fake)) == []
+    (out,) = one.handleExpiredTimer((7,), fake, None)
+    assert out.status.tolist() == ["timeout"] and out.text[0] is None
+    assert list(one.handleInputRows((7,), iter([polls(["B"] * 5, 20)]), fake)) == []
