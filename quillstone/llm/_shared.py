@@ -20,15 +20,13 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (as
-    in tests) a temporary folder is made and set for the session.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (as in
+    tests) the session's own checkpoint folder is used, or a temporary one is made.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 

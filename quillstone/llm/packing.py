@@ -56,7 +56,7 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, piece, n_tokens, bucket_len, batch_id, slot: one row per piece."""
-    docs = with_token_counts(two_columns(df, id_col, text_col), "text", tokenizer)
+    docs = with_token_counts(two_columns(df, id_col, text_col), "text", tokenizer, keep_text=False)
     return pack_lengths(staged(docs.select("doc_id", (F.col("n_tokens") + 1).alias("n")), "lengths"), max_len, buckets, budget, shard_rows)
 
 

@@ -157,9 +157,8 @@ def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         return Forest(0.0, 0.0, [])
     few = F.broadcast(spark.createDataFrame(sorted({r.id for r in rows}), "long").withColumnRenamed("value", "doc_id"))  # at most fit_rows ids
     found = two_columns(docs, id_col, text_col).join(few, "doc_id", "left_semi")
-    got = {r[0]: r[1:] for r in _with_figures(found).drop("text").collect()}
-    at = len(BASE)
-    pairs = [(got[r.id][at], r.y) for r in rows if r.id in got]
+    got = dict(_with_figures(found).groupBy("doc_id").agg(F.min("statistics")).collect())  # one row per id
+    pairs = [(got[r.id], r.y) for r in rows if r.id in got]
     x = np.asarray([p[0] for p in pairs], float).reshape(len(pairs), len(STATISTICS))
     return fit(x, np.asarray([p[1] for p in pairs], float), list(STATISTICS.values()), **how)
 
@@ -178,11 +177,11 @@ def _with_figures(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
 
         return work
 
-    return with_columns_from(docs, "text", fields, make)
+    return with_columns_from(docs, "text", fields, make, keep_text=False)
 
 
 def quality_verdicts(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base figures, base_failed, score, kept."""
-    rows = _with_figures(two_columns(docs, id_col, text_col), forest).drop("text")
+    rows = _with_figures(two_columns(docs, id_col, text_col), forest)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select("doc_id", *BASE, failed.alias("base_failed"), "score", (~failed & (F.col("score") >= forest.threshold)).alias("kept"))
