@@ -15,7 +15,8 @@ token of the prefix's encoding; each byte transition is annotated with the token
 that it adds (0, 1, or a correction below 0).  The last token of a prefix is its
 longest suffix token that may follow the last token of what is before it, where
 "may follow" means that the encoder leaves the two tokens apart.  States are made
-on first use, and dropped all together beyond ``MAX_STATES``.
+on first use, and dropped all together beyond ``MAX_STATES``.  Counts of whole pieces
+are remembered in two generations, so that frequent ones stay.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; the special strings
 of the tokenizer inside a text count as one token each, as the library does by
@@ -40,8 +41,11 @@ from pyspark.sql import types as T
 from ._shared import two_columns, with_columns_from
 
 CHUNK = 64
-MAX_STATES = 400_000
-MAX_MEMO = 1_000_000
+LONG = 1 << 20  # characters beyond which a text is counted in parts
+MAX_STATES, MAX_PAIRS = 500_000, 600_000
+MAX_MEMO = 600_000  # pieces in each of two generations
+_NEVER = 1 << 60
+_SHORT = (3, 2, 1)
 
 # Symbols of the splitter and its states.
 _L, _N, _O, _C2, _C3, _SP, _W1, _W, _END = range(9)
@@ -136,78 +140,127 @@ class PieceTransducer:
 
     def __init__(self, merges: list[tuple[bytes, bytes]]):
         self.rank = {pair: k for k, pair in enumerate(merges)}
-        tokens = {a + b for a, b in merges} | {bytes([b]) for b in range(256)}
-        self.tokens, self.longest = tokens, max(map(len, tokens))
-        self.own: dict[bytes, bool] = {}
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.tokens = list(dict.fromkeys([bytes([b]) for b in range(256)] + [a + b for a, b in merges]))
+        self.number = {token: k for k, token in enumerate(self.tokens)}
+        ends: dict[bytes, set[int]] = {}
+        for token in self.tokens:
+            ends.setdefault(token[-4:], set()).add(len(token))
+        #: The lengths, longest first, of the tokens that end in four given bytes.
+        self.lengths = {end: (*sorted(found, reverse=True), 3, 2, 1) for end, found in ends.items() if len(end) == 4}
+        self.trails: dict[int, tuple[list, list] | None] = {}
+        self.apart: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.next: dict[int, int] = {}
-        self.last: list[bytes] = [b""]  # of each state: the last token, and
-        self.total: list[int] = [0]  # the sum of the annotations on the way to it
-
-    def encode(self, data: bytes) -> list[bytes]:
-        """Merge by rank; used to learn which tokens stand alone or side by side."""
-        parts = [data[k : k + 1] for k in range(len(data))]
+        #: Of each state, named by its prefix: tokens so far << 20 | number of the last one.
+        self.states: dict[bytes, int] = {b"": 0}
+
+    def _merge(self, parts: list[bytes]) -> tuple[list[bytes], int | None]:
+        """Merge every occurrence of the pair that ranks first, from the left."""
+        best, pair = min((self.rank.get(p, _NEVER), p) for p in zip(parts, parts[1:], strict=False))
+        if best == _NEVER:
+            return parts, None
+        out, k = [], 0
+        while k < len(parts):
+            if k + 1 < len(parts) and parts[k] == pair[0] and parts[k + 1] == pair[1]:
+                out.append(pair[0] + pair[1])
+                k += 2
+            else:
+                out.append(parts[k])
+                k += 1
+        return out, best
+
+    def _trail(self, number: int) -> tuple[list, list] | None:
+        """The token's own merges as (rank, last part) and (rank, first part) after each; None if it does not encode to itself."""
+        if number in self.trails:
+            return self.trails[number]
+        token = self.tokens[number]
+        trail, parts = None, [token[k : k + 1] for k in range(len(token))]
+        steps = [(-1, parts[-1], parts[0])]
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda k: self.rank.get((parts[k], parts[k + 1]), 1 << 60))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.rank:
+            parts, rank = self._merge(parts)
+            if rank is None:
                 break
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and (parts[k], parts[k + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return parts
-
-    def _is_own(self, token: bytes) -> bool:
-        found = self.own.get(token)
-        if found is None:
-            found = self.own[token] = token in self.tokens and self.encode(token) == [token]
-        return found
-
-    def _stay_apart(self, a: bytes, b: bytes) -> bool:
-        found = self.apart.get((a, b))
-        if found is None:
-            if len(self.apart) > 1_000_000:
-                self.apart.clear()
-            found = self.apart[a, b] = self.encode(a + b) == [a, b]
-        return found
+            steps.append((rank, parts[-1], parts[0]))
+        if len(parts) == 1:
+            end = [(_NEVER, b"", b"")]
+            trail = [(r, x) for r, x, _ in steps + end], [(r, x) for r, _, x in steps + end]
+        self.trails[number] = trail
+        return trail
+
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether the encoder leaves two tokens side by side.
+
+        Merges happen by rising rank, so both tokens' own merges interleave by rank; the
+        tokens join if the pair of parts at the border ever ranks before what is next on
+        the left, and not after what is next on the right (of equal pairs the left one
+        merges first).
+        """
+        left, right = self.trails[a][0], self.trails[b][1]
+        i = j = 0
+        rank = self.rank
+        while True:
+            across = rank.get((left[i][1], right[j][1]), _NEVER)
+            x, y = left[i + 1][0], right[j + 1][0]
+            if across < x and across <= y and across < _NEVER:
+                return False
+            if x == y == _NEVER:
+                return True
+            if x <= y:
+                i += 1
+            else:
+                j += 1
 
-    def _grow(self, data: bytes, size: int, path: list[int]) -> int:
-        """Make the state of ``data[:size]``; ``path`` holds the states of its prefixes."""
-        tokens = self.tokens
-        for n in range(min(size, self.longest), 0, -1):
-            token = data[size - n : size]
-            if token in tokens and self._is_own(token):
-                before = path[size - n]
-                if n == size or self._stay_apart(self.last[before], token):
-                    self.last.append(token)
-                    self.total.append(self.total[before] + 1)
-                    return len(self.last) - 1
+    def _grow(self, data: bytes, size: int) -> None:
+        """Make the state of ``data[:size]`` from the states of its prefixes."""
+        number, trails, states, apart = self.number.get, self.trails, self.states, self.apart
+        for n in self.lengths.get(data[size - 4 : size], _SHORT) if size >= 4 else _SHORT:
+            if n > size:
+                continue
+            token = number(data[size - n : size])
+            if token is None or not (trails.get(token) or self._trail(token)):
+                continue
+            before = states[data[: size - n]]
+            if n < size:
+                key = (before & 0xFFFFF) << 20 | token
+                ok = apart.get(key)
+                if ok is None:
+                    if len(apart) > MAX_PAIRS:
+                        apart.clear()
+                    ok = apart[key] = self._stay_apart(key >> 20, token)
+                if not ok:
+                    continue
+            states[data[:size]] = ((before >> 20) + 1) << 20 | token
+            return
         raise AssertionError("a single byte is always a token")
 
     def count(self, data: bytes) -> int:
-        state, path, step = 0, [0], self.next
-        for k, byte in enumerate(data):
-            key = state << 8 | byte
-            to = step.get(key)
-            if to is None:
-                to = step[key] = self._grow(data, k + 1, path)
-            state = to
-            path.append(state)
-        total = self.total[state]
-        if len(self.last) > MAX_STATES:
+        """Enter at the longest prefix that has a state, and make the others from there."""
+        states = self.states
+        n = k = len(data)
+        while data[:k] not in states:
+            k -= 1
+        for size in range(k + 1, n + 1):
+            self._grow(data, size)
+        total = states[data] >> 20
+        if len(states) > MAX_STATES:
             self.reset()
         return total
 
 
+#: Between two letters, a space always begins a piece, whatever stands around them.
+_SURE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+
+
+def _in_parts(text: str, limit: int) -> list[str]:
+    """The text in parts of about ``limit`` characters, cut where a piece surely begins."""
+    parts, at = [], 0
+    while len(text) - at > limit and (m := _SURE.search(text, at + limit)):
+        parts.append(text[at : m.start()])
+        at = m.start()
+    return [*parts, text[at:]]
+
+
 class Counter:
     """Counts of whole texts for one tokenizer file."""
 
@@ -222,13 +275,17 @@ class Counter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.memo: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def _piece(self, piece: str) -> int:
         if (found := self.memo.get(piece)) is not None:
             return found
-        if len(self.memo) > MAX_MEMO:
-            self.memo.clear()
-        found = self.memo[piece] = self.pieces.count(piece.encode())
+        if len(self.memo) > MAX_MEMO:  # what is still in use comes back from the old generation
+            self.old, self.memo = self.memo, {}
+        found = self.old.get(piece)
+        if found is None:
+            found = self.pieces.count(piece.encode())
+        self.memo[piece] = found
         return found
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -243,10 +300,20 @@ class Counter:
                 out[k] += len(found) - 1
             else:
                 found = [text]
+            if len(text) > LONG:
+                found = [p for x in found for p in _in_parts(x, LONG)]
             parts += found
             owner += [k] * len(found)
-        if not parts:
-            return out
+        size = begin = 0
+        for k, part in enumerate(parts):
+            size += len(part)
+            if size > LONG or k == len(parts) - 1:
+                np.add.at(out, np.asarray(owner[begin : k + 1]), self._count(parts[begin : k + 1]))
+                size, begin = 0, k + 1
+        return out
+
+    def _count(self, parts: list[str]) -> np.ndarray:
+        """Tokens of each part."""
         points = np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le"), np.uint32).astype(np.int32)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.cumsum(sizes + 1) - 1
@@ -263,8 +330,7 @@ class Counter:
         for k in np.flatnonzero(counts < 0).tolist():
             counts[k] = self._piece(pieces[k])
         part = np.searchsorted(ends, begins)
-        np.add.at(out, np.asarray(owner), np.bincount(part, counts, len(parts)).astype(np.int64))
-        return out
+        return np.bincount(part, counts, len(parts)).astype(np.int64)
 
 
 def default_path() -> str:
@@ -279,7 +345,7 @@ def counter(path: str | None) -> Counter:
     return Counter(path or default_path())
 
 
-def with_token_counts(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+def with_token_counts(df: DataFrame, text_col: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:
     """All columns of ``df`` and ``n_bytes``, ``n_tokens``; one narrow pass, no shuffle."""
 
     def make():
@@ -291,9 +357,9 @@ def with_token_counts(df: DataFrame, text_col: str = "text", path: str | None =
 
         return work
 
-    return with_columns_from(df, text_col, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())], make)
+    return with_columns_from(df, text_col, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())], make, keep_text)
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per row."""
-    return with_token_counts(two_columns(df, id_col, text_col), "text", path).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return with_token_counts(two_columns(df, id_col, text_col), "text", path, keep_text=False).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -37,6 +37,13 @@ def test_chunk_maps_compose():
         assert (token_counts.piece_starts(points, chunk) == whole).all()
 
 
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(token_counts, "LONG", 40)
+    rows = texts(60, 7) + ["the cat's don't sit " * 200, "a b" * 500, None]
+    want = [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch([t or "" for t in rows], add_special_tokens=False)]
+    assert token_counts.Counter(token_counts.default_path())(rows).tolist() == want
+
+
 def test_states_may_be_dropped(monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
     monkeypatch.setattr(token_counts, "MAX_MEMO", 20)
