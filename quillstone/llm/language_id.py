@@ -34,7 +34,8 @@ from ._shared import two_columns, with_columns_from
 
 FIT_DOCS, FIT_WORDS, FIT_ROUNDS, FOLDS = 200, 6000, 3, 5
 FLOOR = 1e-8  # of a letter for which the vocabulary has no piece
-MAX_MEMO = 500_000
+MAX_MEMO = 400_000
+LOCKSTEP = 28  # letters up to which no product can underflow
 UNKNOWN = "und"
 
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -67,6 +68,60 @@ class Model:
     def __init__(self, languages: list[str], pieces: dict[str, tuple[float, ...]]):
         self.languages, self.pieces = languages, pieces
         self.longest = max(map(len, pieces), default=1)
+        self._table: np.ndarray | None = None
+
+    def _prepare(self) -> None:
+        """Rows of probabilities (0: none, 1: the floor), and the row of each piece and of each beginning of one."""
+        self._rows = {piece[:k]: 0 for piece in self.pieces for k in range(1, len(piece))}
+        self._rows.update({piece: k for k, piece in enumerate(self.pieces, 2)})
+        k = len(self.languages)
+        self._table = np.array([(0.0,) * k, (FLOOR,) * k, *self.pieces.values()]).reshape(-1, k)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """``word`` for many words: the forward passes of words of like length go on together."""
+        if self._table is None:
+            self._prepare()
+        out = np.empty((len(words), len(self.languages)))
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        short = [k for k in order if len(words[k]) <= LOCKSTEP]
+        for at in range(0, len(short), 2048):
+            some = short[at : at + 2048]
+            out[some] = self._together([_START + words[k] for k in some])
+        for k in order[len(short) :]:
+            out[k] = self.word(words[k])
+        return out
+
+    def _together(self, texts: list[str]) -> np.ndarray:
+        get, longest, table = self._rows.get, self.longest, self._table
+        n = max(map(len, texts))
+        width = min(longest, n) + 1
+        where: list[int] = []
+        what: list[int] = []
+        for r, s in enumerate(texts):
+            size = len(s)
+            for b in range(size):
+                base = (r * n + b) * width - b
+                where.append(base + b + 1)
+                what.append(get(s[b]) or 1)
+                for e in range(b + 1, min(size, b + width - 1) + 1):
+                    row = get(s[b:e])
+                    if row is None:
+                        break
+                    if row and e - b > 1:
+                        where.append(base + e)
+                        what.append(row)
+        arcs = np.zeros(len(texts) * n * width, np.int32)
+        arcs[where] = what
+        arcs = arcs.reshape(len(texts), n, width)
+        alpha = np.zeros((n + 1, len(texts), len(self.languages)))
+        alpha[0] = 1.0
+        for end in range(1, n + 1):
+            for size in range(1, min(end, width - 1) + 1):
+                rows = arcs[:, end - size, size]
+                has = np.flatnonzero(rows)
+                if len(has):
+                    alpha[end, has] += alpha[end - size, has] * table[rows[has]]
+        return np.log(alpha[[len(s) for s in texts], np.arange(len(texts))])
 
     def word(self, word: str) -> list[float]:
         """The log-probability of a word in each language: a scaled forward pass."""
@@ -154,10 +209,11 @@ def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     wanted = F.lit(False)
     for lang, share in shares.items():
         wanted |= (F.col("lang") == lang) & (place < int(share * (1 << 40)))
+    # One pass: about twice fit_docs per language are expected, the limit bounds them.
+    few = rows.filter(wanted).orderBy(place, "id", "text").limit(4 * fit_docs * len(shares)).select("lang", "text").collect()
     words: dict[str, Counter] = {}
     for lang in sorted(shares):
-        few = rows.filter(wanted & (F.col("lang") == lang)).orderBy(place, F.col("id"), F.col("text")).limit(fit_docs).select("text").collect()
-        counts = Counter(w for r in few for raw in raw_words(r.text) for w in letter_runs(raw))
+        counts = Counter(w for text in [r.text for r in few if r.lang == lang][:fit_docs] for raw in raw_words(text) for w in letter_runs(raw))
         words[lang] = Counter(dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:fit_words]))
     return fit({k: v for k, v in words.items() if v}, vocabulary(vocab_path))
 
@@ -173,24 +229,21 @@ class Scorer:
         self.at: dict[bytes, int] = {}
         self.rows = np.zeros((1024, len(self.model.languages) + 1))
 
-    def _learn(self, raw: bytes) -> int:
-        runs = letter_runs(raw)
-        at = len(self.at)
-        if at == len(self.rows):
+    def _learn(self, new: list[bytes]) -> None:
+        runs = [[raw.decode()] if raw.isascii() else letter_runs(raw) for raw in new]
+        begin, sizes = len(self.at), np.fromiter(map(len, runs), np.int64, len(runs))
+        while begin + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at, 0] = len(runs)
-        for run in runs:
-            self.rows[at, 1:] += self.model.word(run)
-        self.at[raw] = at
-        return at
+        self.rows[begin : begin + len(new), 0] = sizes
+        np.add.at(self.rows[:, 1:], begin + np.repeat(np.arange(len(new)), sizes), self.model.words([w for r in runs for w in r]))
+        self.at.update(zip(new, range(begin, begin + len(new)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.at) > MAX_MEMO:
             self.reset()
         words = [raw_words(t) for t in texts]
         if self.model.languages:
-            for raw in set().union(*words).difference(self.at):
-                self._learn(raw)
+            self._learn(list(set().union(*words).difference(self.at)))
         langs, scores = [], []
         for ws in words:
             sums = self.rows[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))].sum(0) if ws and self.model.languages else np.zeros(1)
@@ -228,7 +281,7 @@ class _Held:
         return self.key == other.key
 
 
-def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def with_language(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """All columns of ``df`` and lang_pred, score; one narrow pass.  The model's size is that of the vocabulary times the languages."""
     import uuid
 
@@ -243,10 +296,10 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
         return work
 
-    return with_columns_from(df, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
+    return with_columns_from(df, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make, keep_text)
 
 
 def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score per row; the score is the best language's share of the mean word probability."""
-    rows = with_language(two_columns(docs, id_col, text_col), model).drop("text")
+    rows = with_language(two_columns(docs, id_col, text_col), model, keep_text=False)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

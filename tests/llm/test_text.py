@@ -165,6 +165,8 @@ def test_forward_sums_all_segmentations(model):
     for word in ("the", "der", "éteint", "anthe", "ñqx"):
         for j, got in enumerate(model.word(word)):
             assert np.isclose(np.exp(got), all_ways(model, word, j), rtol=1e-9)
+    many = ["the", "a", "éteint", "x" * 27, "ñ" * 28, "the" * 10, "ñqxß", "日本", "donaudampfschifffahrt"]
+    assert np.allclose(model.words(many), [model.word(w) for w in many], rtol=1e-9)
     long = model.word("the" * 400)
     assert np.isfinite(long).all()
     assert np.allclose(np.asarray(list(zip(*model.pieces.values(), strict=True))).sum(1), 1)
