@@ -202,10 +202,10 @@ def ask_resolve(spark, d):
 
 @_query()
 def lib_scan(spark, d):
-    """The catalogue written to its JSON form and parsed again."""
-    text = library_json.to_json(b.catalog(spark, d).filter("ordinal < 200"), b.state(spark), b.AS_OF)
-    rows = library_json.parse(text).select(F.posexplode("doc.notebooks").alias("ordinal", "id", "n"))
-    return rows.select("ordinal", "id", "n.name", "n.topics", "n.use_count")
+    """The whole catalogue written to its JSON form, in bounded documents, and parsed again."""
+    text = library_json.to_json_blocks(b.catalog(spark, d), b.state(spark), b.AS_OF)
+    rows = library_json.parse(text).select("before", F.posexplode("doc.notebooks").alias("at", "id", "n"))
+    return rows.select((F.col("before") + F.col("at")).alias("ordinal"), "id", "n.name", "n.topics", "n.use_count")
 
 
 # Sessions

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1000  # ordinals a document, where a catalogue is written as many
 _NOTEBOOK = "id string, url string, name string, description string, topics array<string>, content_types array<string>, use_cases array<string>, tags array<string>, created_at string, updated_at string, use_count bigint, last_used string"
 DOCUMENT = f"notebooks map<string, struct<{', '.join(f.strip().replace(' ', ':', 1) for f in _NOTEBOOK.split(', '))}>>, active_notebook_id string, updated_at string"
 
@@ -34,14 +35,32 @@ def read_library(spark: SparkSession, path: str, strict: bool = False) -> tuple[
     return catalog, text.select(F.col("doc.active_notebook_id").alias("active_id"))
 
 
-def to_json(catalog: DataFrame, state: DataFrame, now: str) -> DataFrame:
-    """One row ``value``: the document, in insertion order.  A catalogue file holds all notebooks, so this gathers them."""
+def _documents(catalog: DataFrame, state: DataFrame, now: str, *by: str) -> DataFrame:
+    """Rows ``by`` and ``value``: a document per group, in insertion order."""
     iso = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) for c in ("created_at", "updated_at", "last_used")}
-    cols = [c for c in catalog.columns if c != "ordinal"]
+    cols = [c for c in catalog.columns if c not in ("ordinal", *by)]
     row = F.struct(*[iso.get(c, F.col(c)) for c in cols])
-    one = catalog.agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col("id").alias("key"), row.alias("n")))).alias("rows"))
+    groups = catalog.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col("id").alias("key"), row.alias("n")))).alias("rows"))
     notebooks = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["key"], r["n"])))
-    return one.crossJoin(state).select(F.to_json(F.struct(notebooks.alias("notebooks"), F.col("active_id").alias("active_notebook_id"), F.lit(now).alias("updated_at"))).alias("value"))
+    return groups.crossJoin(state).select(*by, F.to_json(F.struct(notebooks.alias("notebooks"), F.col("active_id").alias("active_notebook_id"), F.lit(now).alias("updated_at"))).alias("value"))
+
+
+def to_json(catalog: DataFrame, state: DataFrame, now: str) -> DataFrame:
+    """One row ``value``: the document, in insertion order.  A catalogue file holds all notebooks, so this gathers them."""
+    return _documents(catalog, state, now).select("value")
+
+
+def to_json_blocks(catalog: DataFrame, state: DataFrame, now: str, block: int = BLOCK) -> DataFrame:
+    """Rows ``value`` and ``before``: a document per ``block`` ordinals, and how many notebooks stand in those before it.
+
+    No task holds more than the notebooks of a block; only the blocks' sizes are
+    gathered, to number across gaps.
+    """
+    parts = _documents(catalog.withColumn("block", F.floor(F.col("ordinal") / block)), state, now, "block")
+    sizes = catalog.groupBy(F.floor(F.col("ordinal") / block).alias("of")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("of", F.coalesce(before, F.lit(0)).alias("before"))
+    return parts.join(sizes, F.col("block").eqNullSafe(F.col("of"))).select("value", "before")
 
 
 def write_library(catalog: DataFrame, state: DataFrame, folder: str, now: str) -> str:

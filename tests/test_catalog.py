@@ -1,10 +1,12 @@
 """Golden cases of the catalogue."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as fn
 from quillstone.operators import catalog
+from quillstone.plans import bindings, registry
 from quillstone.sources import library_json
 
 NOW = "2024-05-01 10:00:00"
@@ -128,3 +130,20 @@ def test_urls(spark):
     df = spark.createDataFrame([("https://x.org/?u=https://host/",), ("https://host/a",), (None,)], "u string")
     got = df.select(fn.mentions(F.col("u"), "https://host/"), fn.on_host(F.col("u"), "host")).collect()
     assert [tuple(r) for r in got] == [(True, False), (True, True), (False, False)]
+
+
+def test_scan_is_whole(spark, sf_dir, tmp_path):
+    part = bindings.table(spark, sf_dir, "part").limit(100).drop("p_partkey")
+    part.crossJoin(spark.range(25)).withColumn("p_partkey", F.row_number().over(Window.orderBy("p_name", "id")).cast("long")).drop("id").write.parquet(f"{tmp_path}/part.parquet")
+    base = bindings.catalog(spark, str(tmp_path)).orderBy("ordinal").collect()
+    got = sorted(registry.QUERIES["lib_scan"](spark, str(tmp_path)).collect())
+    assert len(got) == 2500 and [tuple(r) for r in got] == [(k, r.id, r.name, r.topics, r.use_count) for k, r in enumerate(base)]
+
+
+def test_blocks_number_across_gaps(spark):
+    rows = notebooks(spark, [(f"n{k}", "N", None, [], [], k) for k in range(40)]).filter("ordinal % 3 <> 0 and ordinal not between 10 and 19")
+    text = library_json.to_json_blocks(rows, state(spark, "n1"), NOW, block=5)
+    found = library_json.parse(text).select("before", F.posexplode("doc.notebooks").alias("at", "id", "n")).collect()
+    assert text.count() == 6
+    assert [r.id for r in sorted(found, key=lambda r: r.before + r.at)] == [r.id for r in rows.orderBy("ordinal").collect()]
+    assert sorted(r.before + r.at for r in found) == list(range(rows.count()))
