@@ -15,8 +15,11 @@ token of the prefix's encoding; each byte transition is annotated with the token
 that it adds (0, 1, or a correction below 0).  The last token of a prefix is its
 longest suffix token that may follow the last token of what is before it, where
 "may follow" means that the encoder leaves the two tokens apart.  States are made
-on first use, and dropped all together beyond ``MAX_STATES``.  Counts of whole pieces
-are remembered in two generations, so that frequent ones stay.
+on first use, and dropped all together beyond ``MAX_STATES`` or ``MAX_BYTES``.  Counts
+of whole pieces are remembered in two generations, so that frequent ones stay.  A piece
+beyond ``LONG_PIECE`` bytes runs through the same machine without leaving a state or
+a remembered count behind: it needs the states of as many prefixes as the longest
+token has bytes, in a ring.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; the special strings
 of the tokenizer inside a text count as one token each, as the library does by
@@ -43,7 +46,9 @@ from ._shared import two_columns, with_columns_from
 CHUNK = 64
 LONG = 1 << 20  # characters beyond which a text is counted in parts
 MAX_STATES, MAX_PAIRS = 500_000, 600_000
-MAX_MEMO = 600_000  # pieces in each of two generations
+MAX_BYTES = 64 << 20  # of prefixes that name states
+MAX_MEMO, MAX_MEMO_CHARS = 600_000, 16 << 20  # pieces in each of two generations, and their characters
+LONG_PIECE = 256  # bytes beyond which nothing of a piece is kept
 _NEVER = 1 << 60
 _SHORT = (3, 2, 1)
 
@@ -147,6 +152,7 @@ class PieceTransducer:
             ends.setdefault(token[-4:], set()).add(len(token))
         #: The lengths, longest first, of the tokens that end in four given bytes.
         self.lengths = {end: (*sorted(found, reverse=True), 3, 2, 1) for end, found in ends.items() if len(end) == 4}
+        self.longest = max(map(len, self.tokens))
         self.trails: dict[int, tuple[list, list] | None] = {}
         self.apart: dict[int, bool] = {}
         self.reset()
@@ -154,6 +160,7 @@ class PieceTransducer:
     def reset(self) -> None:
         #: Of each state, named by its prefix: tokens so far << 20 | number of the last one.
         self.states: dict[bytes, int] = {b"": 0}
+        self.held = 0  # bytes of those names
 
     def _merge(self, parts: list[bytes]) -> tuple[list[bytes], int | None]:
         """Merge every occurrence of the pair that ranks first, from the left."""
@@ -211,9 +218,20 @@ class PieceTransducer:
             else:
                 j += 1
 
+    def _follows(self, before: int, token: int) -> bool:
+        """Whether the token may follow the last one of the state ``before``."""
+        apart = self.apart
+        key = (before & 0xFFFFF) << 20 | token
+        ok = apart.get(key)
+        if ok is None:
+            if len(apart) > MAX_PAIRS:
+                apart.clear()
+            ok = apart[key] = self._stay_apart(key >> 20, token)
+        return ok
+
     def _grow(self, data: bytes, size: int) -> None:
         """Make the state of ``data[:size]`` from the states of its prefixes."""
-        number, trails, states, apart = self.number.get, self.trails, self.states, self.apart
+        number, trails, states, apart = self.number.get, self.trails, self.states, self.apart.get
         for n in self.lengths.get(data[size - 4 : size], _SHORT) if size >= 4 else _SHORT:
             if n > size:
                 continue
@@ -222,20 +240,40 @@ class PieceTransducer:
                 continue
             before = states[data[: size - n]]
             if n < size:
-                key = (before & 0xFFFFF) << 20 | token
-                ok = apart.get(key)
-                if ok is None:
-                    if len(apart) > MAX_PAIRS:
-                        apart.clear()
-                    ok = apart[key] = self._stay_apart(key >> 20, token)
-                if not ok:
+                ok = apart((before & 0xFFFFF) << 20 | token)
+                if not (self._follows(before, token) if ok is None else ok):
                     continue
             states[data[:size]] = ((before >> 20) + 1) << 20 | token
             return
         raise AssertionError("a single byte is always a token")
 
+    def _count_long(self, data: bytes) -> int:
+        """The same steps with the last states in a ring."""
+        number, trails, lengths, apart = self.number.get, self.trails, self.lengths, self.apart.get
+        width = self.longest + 1
+        ring = [0] * width
+        for size in range(1, len(data) + 1):
+            for n in lengths.get(data[size - 4 : size], _SHORT) if size >= 4 else _SHORT:
+                if n > size:
+                    continue
+                token = number(data[size - n : size])
+                if token is None or not (trails.get(token) or self._trail(token)):
+                    continue
+                before = ring[(size - n) % width]
+                if n < size:
+                    ok = apart((before & 0xFFFFF) << 20 | token)
+                    if not (self._follows(before, token) if ok is None else ok):
+                        continue
+                ring[size % width] = ((before >> 20) + 1) << 20 | token
+                break
+            else:
+                raise AssertionError("a single byte is always a token")
+        return ring[len(data) % width] >> 20
+
     def count(self, data: bytes) -> int:
         """Enter at the longest prefix that has a state, and make the others from there."""
+        if len(data) > LONG_PIECE:
+            return self._count_long(data)
         states = self.states
         n = k = len(data)
         while data[:k] not in states:
@@ -243,7 +281,8 @@ class PieceTransducer:
         for size in range(k + 1, n + 1):
             self._grow(data, size)
         total = states[data] >> 20
-        if len(states) > MAX_STATES:
+        self.held += (n - k) * (n + k + 1) // 2
+        if len(states) > MAX_STATES or self.held > MAX_BYTES:
             self.reset()
         return total
 
@@ -276,16 +315,20 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.memo: dict[str, int] = {}
         self.old: dict[str, int] = {}
+        self.held = 0  # characters of the pieces in memo
 
     def _piece(self, piece: str) -> int:
         if (found := self.memo.get(piece)) is not None:
             return found
-        if len(self.memo) > MAX_MEMO:  # what is still in use comes back from the old generation
-            self.old, self.memo = self.memo, {}
+        if len(piece) > LONG_PIECE:
+            return self.pieces.count(piece.encode())
+        if len(self.memo) > MAX_MEMO or self.held > MAX_MEMO_CHARS:  # what is still in use comes back from the old generation
+            self.old, self.memo, self.held = self.memo, {}, 0
         found = self.old.get(piece)
         if found is None:
             found = self.pieces.count(piece.encode())
         self.memo[piece] = found
+        self.held += len(piece)
         return found
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:

@@ -1,6 +1,9 @@
 """Token counts and token files against the tokenizers library."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -52,6 +55,27 @@ def test_states_may_be_dropped(monkeypatch):
     assert token_counts.Counter(token_counts.default_path())(rows).tolist() == want
 
 
+def test_one_run_of_a_megabyte():
+    """In a process whose memory is bounded: a run of n bytes once stored n * n / 2 of them."""
+    rng = random.Random(3)
+    runs = ["".join(rng.choices("ACGT", k=1 << 20)), "-=" * (1 << 16), "日本語" * 20000, "7" * 50001]
+    code = "import resource, sys; resource.setrlimit(resource.RLIMIT_AS, (3 << 30, 3 << 30)); from quillstone.llm import token_counts as t; print(*t.Counter(t.default_path())(sys.stdin.read().split()))"
+    got = subprocess.run([sys.executable, "-c", code], input=" ".join(runs), capture_output=True, text=True, env=os.environ | {"OPENBLAS_NUM_THREADS": "1"}, timeout=300)
+    want = [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch(runs, add_special_tokens=False)]
+    assert (got.stdout.split(), got.returncode) == ([str(n) for n in want], 0), got.stderr[-2000:]
+
+
+def test_what_is_kept_is_bounded(monkeypatch):
+    rows = ["".join(random.Random(k).choices("abcdé", k=n)) for k, n in enumerate([255, 256, 257, 300, 2000, *range(1, 200)])]
+    want = [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch(rows, add_special_tokens=False)]
+    monkeypatch.setattr(token_counts, "MAX_BYTES", 20_000)
+    monkeypatch.setattr(token_counts, "MAX_MEMO_CHARS", 1000)
+    run = token_counts.Counter(token_counts.default_path())
+    assert run(rows).tolist() == want == run(rows).tolist()
+    assert sum(map(len, run.pieces.states)) <= 20_000 + 256 * 257 // 2
+    assert max(sum(map(len, run.memo)), sum(map(len, run.old))) <= 1256 and max(map(len, run.memo | run.old)) <= 256
+
+
 def test_counts_query(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(cases.frame(spark)).collect())
     t = library("byte_bpe_50k.json")
