@@ -22,9 +22,11 @@ from quillstone.operators.sessions import TIMEOUT
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """Events as they arrive in a folder (or at a path), as observations."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may match a file or a folder
+def events_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 64) -> DataFrame:
+    """Events as they arrive in a folder (or at a path), as observations; with None, all files that are there make one micro-batch."""
+    reader = spark.readStream.schema(EVENTS)
+    reader = reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
+    raw = reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may match a file or a folder
     return raw.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), (F.col("event_type") == "error").alias("thinking"))
 
 
@@ -100,24 +102,43 @@ def _folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, provider: str | None = None) -> DataFrame:
-    """Run a stream over all that is there, into Parquet, and return what it wrote."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, mode: str = "append", provider: str | None = None) -> DataFrame:
+    """Run a stream over all that is there, into Parquet, and return what it wrote.
+
+    In complete mode each micro-batch writes the whole result into a folder of its own,
+    and the last one counts.
+    """
     spark = stream.sparkSession
     folder, key = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
+    out, written = f"{folder}/out", []
+
+    def whole(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{batch}")
+        written.append(batch)
+
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    writer = writer.foreachBatch(whole) if mode == "complete" else writer.format("parquet").option("path", out)
     if provider:
         spark.conf.set(key, provider)
     try:
-        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        writer.start().awaitTermination()
     finally:
         if provider:
             spark.conf.set(key, before) if before else spark.conf.unset(key)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if mode != "complete":
+        return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{out}/{written[-1]}") if written else spark.createDataFrame([], stream.schema)
 
 
 def drain_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return drain(session_stream(events_stream(spark, path)))
+    """All sessions: complete mode drops no late event and returns those still open at the end."""
+    return drain(session_stream(events_stream(spark, path, None)), "complete", ROCKS)
 
 
 def drain_answers(spark: SparkSession, path: str) -> DataFrame:
-    return drain(answer_stream(events_stream(spark, path), deadline=None), "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Runs of equal texts are counted in event order, so all events go into one micro-batch."""
+    return drain(answer_stream(events_stream(spark, path, None), deadline=None), provider=ROCKS)

@@ -26,6 +26,17 @@ def test_answers(spark, sf_dir):
     assert got == {(r.key, r.text, r.ts) for r in batch.collect()}
 
 
+def test_many_unordered_files(spark, sf_dir, tmp_path):
+    events = bindings.table(spark, sf_dir, "events")
+    events.repartition(80, F.xxhash64("event_id")).write.option("maxRecordsPerFile", 10).parquet(f"{tmp_path}/events.parquet")
+    assert len(list(tmp_path.glob("events.parquet/*.parquet"))) > 64
+    obs = bindings.observations(spark, sf_dir)
+    got = live.drain_sessions(spark, f"{tmp_path}/events.parquet").select("key", "created_at", "last_activity", "message_count").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, sessions.windows(obs).select("key", "created_at", "last_activity", "message_count").collect()))
+    got = live.drain_answers(spark, f"{tmp_path}/events.parquet").select("key", "text", "ts", "status").collect()
+    assert sorted(map(tuple, got)) == sorted((r.key, r.text, r.ts, "success") for r in answers.stable(answers.usable(obs), answers.SESSION).collect())
+
+
 class Fake:
     """Enough of a state-store handle for the processor."""
 
