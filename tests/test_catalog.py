@@ -56,6 +56,19 @@ def test_insert_duplicates(spark, three):
     assert (row.topics, row.tags, row.use_cases, row.use_count, row.last_used) == (["t1", "t2"], [], [], 0, None)
 
 
+@pytest.mark.parametrize("name", ["lib_insert", "lib_insert_rejected"])
+def test_insert_queries_meet_taken_ids(spark, sf_dir, tmp_path, monkeypatch, name):
+    part = bindings.table(spark, sf_dir, "part").filter("p_partkey < 20")
+    part.crossJoin(spark.range(3)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 21).drop("id").write.parquet(f"{tmp_path}/part.parquet")
+    seen, insert = [], catalog.insert
+    monkeypatch.setattr(catalog, "insert", lambda *x: seen.append(x) or insert(*x))
+    got = {r.ordinal for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    held, rows = ({(r.id, r.ordinal) for r in x.collect()} for x in seen[0])
+    taken = {k for i, k in rows if i in {i for i, _ in held}}
+    assert held and taken and len(held) + len(rows) == 60
+    assert taken <= got if name == "lib_insert_rejected" else not taken & got and {k for _, k in held} <= got
+
+
 def test_first_insert_activates(spark, three):
     assert catalog.activate_only(three.limit(0).union(three.filter("id = 'a'")), state(spark, None)).first()[0] == "a"
     assert catalog.activate_only(three, state(spark, "m")).first()[0] == "m"
