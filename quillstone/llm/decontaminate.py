@@ -23,12 +23,13 @@ is empty.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import sliced, two_columns
+from ._shared import Keyed, Texts, two_columns
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
@@ -101,6 +102,12 @@ class Searcher:
         return hit, items
 
 
+@lru_cache(maxsize=1)
+def _searcher(held: Keyed) -> Searcher:
+    """The tables are built once per worker process and block of items."""
+    return Searcher(*held.value)
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int):
     """The query set in blocks; which block an item is in depends on its hash alone."""
     two = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
@@ -125,16 +132,16 @@ def scan(docs: DataFrame, items: DataFrame, item_id_col: str = "item_id", item_t
     types = dict(docs.dtypes)
     first = True
     for block, last in _blocks(items, item_id_col, item_text_col, block_chars):
-        held = spark.sparkContext.broadcast((block, window))
+        held = Keyed(spark.sparkContext.broadcast((block, window)))
         out = [*rest, *(["text"] if keep_text or not last else []), *(names[2:] if last else names[:2])]
 
         def run(batches, held=held, last=last, first=first, out=out):
-            search = Searcher(*held.value)
+            search = _searcher(held)
             for batch in batches:
-                for a, b in sliced(texts := batch.column("text").to_pylist()):
+                for a, b, texts in Texts(batch.column("text")).slices():
                     rows = {c: [] for c in names}
                     before = [(None, None)] * (b - a) if first else zip(batch.column("hit_flags").slice(a, b - a).to_pylist(), batch.column("hit_items").slice(a, b - a).to_pylist(), strict=True)
-                    for text, (flags, had) in zip(texts[a:b], before, strict=True):
+                    for text, (flags, had) in zip(texts.strings(), before, strict=True):
                         words = words_of(text)
                         hit, found = search(words, bytearray(flags) if flags else None, set(had or ()))
                         n_hit = sum(hit) if hit else 0
@@ -151,5 +158,3 @@ def scan(docs: DataFrame, items: DataFrame, item_id_col: str = "item_id", item_t
         docs = docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in out))
         first = False
     return docs
-
-

@@ -294,7 +294,7 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def make():
         def work(texts):
-            found = [extract(t) for t in texts]
+            found = [extract(t) for t in texts.strings()]
             return [pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())]
 
         return work

@@ -170,7 +170,7 @@ def _with_figures(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
 
     def make():
         def work(texts):
-            both = [describe(t) for t in texts]
+            both = [describe(t) for t in texts.strings()]
             base = [pa.array([b[0][k] for b in both], pa.int64()) for k in range(len(BASE))]
             stats = [b[1] for b in both]
             return [*base, pa.array(forest.score(np.asarray(stats, float))) if forest else pa.array(stats, pa.list_(pa.float64()))]
