@@ -6,8 +6,10 @@ first occurrence in order of (doc_id, hash of text, place) stays, and the lines
 all later occurrences, merged into one set of places per document, are removed.
 Blank lines do not count for windows; one inside a removed window goes with it.
 
-A hot window costs little: the count combines before the shuffle, and the joins that
-pick its occurrences have a unique side, so adaptive execution may split the other.
+The windows are made once and written down.  A hot window never meets in one task:
+each row of the table is dealt one of ``SALTS`` numbers, occurrences are counted per
+window and number first, and the few partial results of a window are put together
+and sent back to its numbers, where the occurrences are picked.
 
 Edge cases: null and empty texts stay as they are; a text of fewer than three lines
 that are not blank is never changed; rows that repeat both id and text are treated as
@@ -18,25 +20,25 @@ named like a result column is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import Stage
 
-WINDOW = 3
+WINDOW, SALTS = 3, 64
 _ALL = 2147483647
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """h1, h2, place (doc_id, tie, first and last line): a row per window."""
+    """h1, h2, salt, place (doc_id, tie, first and last line): a row per window."""
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     full = F.filter(lines, lambda s: F.length(F.trim(F.translate(s["x"], "\t\r\x0b\x0c", "    "))) > 0)
     # explode(array()) keeps the optimiser from computing the array again for each use
-    rows = docs.filter(F.instr("text", "\n") > 0).select("doc_id", "tie", F.explode(F.array(full)).alias("ls")).filter(F.size("ls") >= WINDOW)
+    rows = docs.filter(F.instr("text", "\n") > 0).select("doc_id", "tie", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.array(full)).alias("ls")).filter(F.size("ls") >= WINDOW)
     parts = [F.slice("ls", k + 1, _ALL).alias(f"l{k}") for k in range(WINDOW)]
-    rows = rows.select("doc_id", "tie", F.inline(F.slice(F.arrays_zip(*parts), 1, F.size("ls") - (WINDOW - 1))))
+    rows = rows.select("doc_id", "tie", "salt", F.inline(F.slice(F.arrays_zip(*parts), 1, F.size("ls") - (WINDOW - 1))))
     xs = [F.col(f"l{k}.x") for k in range(WINDOW)]
-    return rows.select(F.xxhash64(*xs).alias("h1"), F.xxhash64(F.lit(7), *xs).alias("h2"), "doc_id", "tie", F.col("l0.i").alias("a"), F.col(f"l{WINDOW - 1}.i").alias("b"))
+    return rows.select(F.xxhash64(*xs).alias("h1"), F.xxhash64(F.lit(7), *xs).alias("h2"), "salt", "doc_id", "tie", F.col("l0.i").alias("a"), F.col(f"l{WINDOW - 1}.i").alias("b"))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,12 +47,12 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         raise ValueError("the id or the text has the name of a result column")
     names = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    windows = _windows(docs)
-    repeated = windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-    found = staged(windows.join(repeated, ["h1", "h2"], "left_semi"), "line-windows")
+    windows = Stage(df.sparkSession)(_windows(docs), "line-windows")
     place = F.struct("doc_id", "tie", "a")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    later = found.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    parts = windows.groupBy("h1", "h2", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    all_parts = Window.partitionBy("h1", "h2")  # at most SALTS rows
+    parts = parts.select("h1", "h2", "salt", F.sum("n").over(all_parts).alias("n"), F.min("first").over(all_parts).alias("first"))
+    later = windows.join(parts.filter("n > 1"), ["h1", "h2", "salt"]).filter(~place.eqNullSafe(F.col("first")))
     gone = later.select("doc_id", "tie", F.explode(F.sequence("a", "b")).alias("at")).groupBy("doc_id", "tie").agg(F.collect_set("at").alias("gone"))
 
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("tie"))
