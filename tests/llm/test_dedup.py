@@ -119,12 +119,15 @@ def test_bitmaps_bound_the_difference():
     bits = near_dedup.parities(sets)
     for a in range(len(sets)):
         for b in range(a):
-            assert np.unpackbits(bits[a] ^ bits[b]).sum() <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
+            for half in (slice(0, near_dedup.PARITY // 8), slice(near_dedup.PARITY // 8, None)):
+                assert np.unpackbits((bits[a] ^ bits[b])[half]).sum() <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
 
 
 def test_small_blocks(spark, monkeypatch):
     """Buckets of several blocks, in which near misses are many, lose no link."""
+    monkeypatch.setattr(near_dedup, "LEAST_BLOCK", 7)
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "FAN", 3)
     rng = random.Random(11)
     base = [f"b{k}" for k in range(120)]
     docs = []
@@ -218,3 +221,42 @@ def test_pipeline(spark, sf_dir):
     out = stages["packing"](spark, step, sf_dir)
     assert {r.doc_id for r in out.collect()} == set(want)
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
+
+
+def machine(roles, template):
+    """States and flags one by one."""
+    state, flags = template.start, []
+    for role in roles:
+        flags.append(role in template.trained.get("", ()) or role in template.trained.get(state, ()))
+        state = template.moves.get(state, {}).get(role, "error")
+    return state, flags
+
+
+def test_machine_over_long_conversations(spark, monkeypatch):
+    """Blocks compose: conversations of many blocks, with orders that break late, early or never."""
+    monkeypatch.setattr(chat_format, "BLOCK", 5)
+    rng = random.Random(21)
+    chats = {0: ["system", *["user", "assistant"] * 40], 1: ["user", "assistant"] * 20 + ["assistant", "user"], 2: ["assistant"] * 30, 3: ["user"], 4: ["system"]}
+    for k in range(5, 25):
+        chats[k] = [rng.choice(["system", "user", "assistant", "tool"]) if rng.random() < 0.03 else ("user", "assistant")[j % 2] for j in range(rng.randint(1, 60))]
+    strict = chat_format.ChatTemplate(trained={"asked": ("assistant",), "answered": ("user",)})
+    for template in (chat_format.ChatTemplate(), strict):
+        df = spark.createDataFrame([(c, k, r, f"t{k}") for c, roles in chats.items() for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+        got = {r.conv_id: r for r in chat_format.parse_chats(chat_format.format_chats(df, template), template).collect()}
+        for c, roles in chats.items():
+            state, flags = machine(roles, template)
+            assert (got[c].final_state, got[c].valid) == (state, state in template.accept)
+            assert [t.loss for t in got[c].turns] == flags == [s.loss for s in got[c].segments[1::3]]
+
+
+def test_one_very_long_conversation(spark):
+    df = spark.range(60_000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('said ', id) text", "id AS segments", "id AS valid")
+    row = chat_format.chat_digests(df).first()
+    assert (row.n_turns, row.valid, row.loss_chars) == (60_000, True, sum(len(f"said {k}") for k in range(1, 60_000, 2)))
+
+
+def test_machine_is_in_the_plan(spark, sf_dir):
+    from quillstone.llm import queries
+
+    plan = queries.op8_chat_format(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "asked>assistant" in plan and "1answered" in plan
