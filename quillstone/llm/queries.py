@@ -48,7 +48,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    return chat_format.chat_digests(rows.unionByName(probe)).drop("valid")
+    return chat_format.chat_digests(rows.unionByName(probe))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +105,14 @@ WITH t AS (
 g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text) AS roles,
     string_agg('<|im_start|>' || replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|nl|>') || chr(10)
       || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS formatted
   FROM t GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-  sha256(loss) AS loss_sha256, CAST(length(formatted) AS BIGINT) AS formatted_chars FROM g
+  sha256(loss) AS loss_sha256, CAST(length(formatted) AS BIGINT) AS formatted_chars, regexp_full_match(roles, 's?u(au)*a?') AS valid,
+  CASE WHEN regexp_full_match(roles, 's?u(au)*') THEN 'asked' WHEN regexp_full_match(roles, 's?u(au)*a') THEN 'answered'
+    WHEN roles = 's' THEN 'told' ELSE 'error' END AS final_state FROM g
 """,
     "op9_near_dedup": r"""
 WITH RECURSIVE w AS (
