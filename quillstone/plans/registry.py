@@ -312,12 +312,12 @@ def ask_gate(spark, d):
 # State and URLs
 
 
-@_query("""SELECT event_id, event_type <> 'error' AS authenticated,
-  CASE WHEN event_type <> 'error' THEN CAST(floor(date_sub('second', ts, TIMESTAMP '2024-01-20') / 3600.0) AS BIGINT) END AS state_age_hours,
-  CASE WHEN event_type = 'error' THEN 'missing' WHEN date_sub('second', ts, TIMESTAMP '2024-01-20') > 7 * 86400 THEN 'stale' ELSE 'ok' END AS status FROM events WHERE ts < TIMESTAMP '2024-01-20'""")
+@_query(f"""SELECT event_id, event_type <> 'error' AS authenticated,
+  CASE WHEN event_type <> 'error' THEN CAST(floor(date_sub('second', ts, {_NOW}) / 3600.0) AS BIGINT) END AS state_age_hours,
+  CASE WHEN event_type = 'error' THEN 'missing' WHEN date_sub('second', ts, {_NOW}) > 7 * 86400 THEN 'stale' ELSE 'ok' END AS status FROM events""")
 def state_age(spark, d):
-    rows = b.table(spark, d, "events").filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
-    return state.age(rows.withColumn("modified_at", F.when(F.col("event_type") != "error", F.col("ts"))), "2024-01-20 00:00:00").select("event_id", "authenticated", "state_age_hours", "status")
+    rows = b.table(spark, d, "events")
+    return state.age(rows.withColumn("modified_at", F.when(F.col("event_type") != "error", F.col("ts"))), b.AS_OF).select("event_id", "authenticated", "state_age_hours", "status")
 
 
 @_query("SELECT event_id, CASE WHEN event_type = 'view' THEN FALSE ELSE TRUE END AS authenticated, CASE WHEN event_type = 'click' THEN 'saved' ELSE 'computed' END AS origin FROM events")
