@@ -110,4 +110,4 @@ class Library:
         return catalog.in_order(catalog.search(self.notebooks(), query))
 
     def stats(self) -> DataFrame:
-        return catalog.stats(self.notebooks(), self.state())
+        return catalog.stats(self.notebooks(), self.state(), self.path)

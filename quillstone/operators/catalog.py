@@ -37,6 +37,11 @@ def search(catalog: DataFrame, query: str) -> DataFrame:
     return catalog.filter(matches(query))
 
 
+def search_count(found: DataFrame) -> DataFrame:
+    """One row: how many rows a search has found."""
+    return found.agg(F.count("*").alias("n_results"))
+
+
 def get(catalog: DataFrame, id_: str) -> DataFrame:
     return catalog.filter(F.col("id") == id_)
 
@@ -94,7 +99,14 @@ def reassign(before: DataFrame, state: DataFrame, id_: str) -> DataFrame:
 
 
 def patch(catalog: DataFrame, changes: DataFrame, now: str) -> DataFrame:
-    """Per changed id: null keeps a field, anything else overwrites it, and updated_at moves.  The id never changes."""
+    """Per changed id: null keeps a field, anything else overwrites it, and updated_at moves.  The id never changes.
+
+    Of several changes for one id, an ``at`` column decides (the last value given per
+    field wins); without it, each field takes its largest value.
+    """
+    fields = [c for c in PATCHED if c in changes.columns]
+    at = "at" if "at" in changes.columns else None
+    changes = changes.groupBy("id").agg(F.count("*").alias("times"), *[(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))) if at else F.max(c)).alias(c) for c in fields]).drop("times")
     new = changes.select(F.col("id").alias("pid"), *[F.col(c).alias(f"p_{c}") for c in PATCHED if c in changes.columns])
     both = catalog.join(new, F.col("id") == F.col("pid"), "left")
     cols = []
@@ -132,14 +144,15 @@ def most_used(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy(F.desc("use_count"), "ordinal").limit(1)
 
 
-def stats(catalog: DataFrame, state: DataFrame) -> DataFrame:
-    """One row: counts, the active id if it exists, the most used id."""
+def stats(catalog: DataFrame, state: DataFrame, path: str | None = None) -> DataFrame:
+    """One row: counts, the active notebook if it exists and the most used one (ids, and records), and the catalogue's path."""
     total = catalog.agg(F.count("*").alias("total_notebooks"), F.coalesce(F.sum("use_count"), F.lit(0)).cast("long").alias("total_use_count"))
     topics = topics_distinct(catalog).agg(F.count("*").alias("total_topics"))
-    now = active(catalog, state).select(F.col("id").alias("active_notebook"))
+    record = F.struct(*catalog.columns)
+    now = active(catalog, state).select(F.col("id").alias("active_notebook"), F.when(F.col("id").isNotNull(), record).alias("active_record"))
     top = F.struct(F.coalesce("use_count", F.lit(0)).alias("n"), (-F.col("ordinal")).alias("o"), F.col("id").alias("id"))
-    best = catalog.agg(F.max(top).getField("id").alias("most_used_notebook"))
-    return total.crossJoin(topics).crossJoin(best).crossJoin(now)
+    best = catalog.agg(F.max(top).getField("id").alias("most_used_notebook"), F.max_by(record, top).alias("most_used_record"))
+    return total.crossJoin(topics).crossJoin(best).crossJoin(now).withColumn("library_path", F.lit(path).cast("string"))
 
 
 def slug_conflicts(catalog: DataFrame) -> DataFrame:

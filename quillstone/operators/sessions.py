@@ -38,3 +38,11 @@ def epochs(events: DataFrame, is_reset: Column, key: str = "key", order: tuple[s
     by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = events.withColumn("reset", is_reset.cast("int")).withColumn("epoch", F.sum("reset").over(by))
     return out.groupBy(key, F.col("epoch").cast("long").alias("epoch")).agg(F.sum(1 - F.col("reset")).cast("long").alias("message_count"))
+
+
+def until_closed(events: DataFrame, is_close: Column, key: str = "key", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """Sessions that an event closes: the close belongs to the session that it ends and is no message; what follows opens the next one."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = events.withColumn("ends", F.coalesce(is_close, F.lit(False)))
+    out = out.withColumn("session_no", F.coalesce(F.sum(F.col("ends").cast("long")).over(before), F.lit(0)))
+    return out.groupBy(key, "session_no").agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_activity"), F.sum(1 - F.col("ends").cast("long")).alias("message_count"), F.max("ends").alias("closed"))

@@ -27,6 +27,6 @@ def overlay_maps(computed: Column, saved: Column) -> Column:
 
 
 def stamps(rows: DataFrame, at: str) -> DataFrame:
-    """One instant in its three forms: epoch seconds, formatted, ISO."""
+    """One instant in two forms: epoch seconds (double) and formatted."""
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
-    return rows.withColumns({"authenticated_at": micros, "authenticated_at_iso": F.date_format(at, "yyyy-MM-dd HH:mm:ss")})
+    return rows.withColumns({"authenticated_at": micros.cast("double") / 1e6, "authenticated_at_iso": F.date_format(at, "yyyy-MM-dd HH:mm:ss")})

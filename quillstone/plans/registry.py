@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as fn
 from quillstone.operators import answers, catalog, sessions, state, storage
+from quillstone import shared
 from quillstone.plans import bindings as b
 from quillstone.sources import library_json
 from quillstone.streaming import live
@@ -128,9 +129,18 @@ _USED = f"{_NOTEBOOK}, used AS (SELECT id, ordinal, (SELECT count(*) FROM lineit
 
 @_query(f"""WITH {_USED} SELECT (SELECT count(*) FROM notebook) AS total_notebooks,
   (SELECT count(DISTINCT t) FROM (SELECT unnest(topics) AS t FROM notebook)) AS total_topics, CAST((SELECT sum(use_count) FROM used) AS BIGINT) AS total_use_count,
-  (SELECT id FROM notebook WHERE id = '7') AS active_notebook, (SELECT id FROM used ORDER BY use_count DESC, ordinal LIMIT 1) AS most_used_notebook""")
+  a.id AS active_notebook, a.name AS active_name, a.url AS active_url, a.use_count AS active_use_count, a.topics AS active_topics,
+  m.id AS most_used_notebook, m.name AS most_used_name, m.url AS most_used_url, m.use_count AS most_used_use_count, m.topics AS most_used_topics, 'part' AS library_path
+  FROM (SELECT n.*, used.use_count FROM notebook n JOIN used USING (id) WHERE id = '7') a, (SELECT n.*, used.use_count FROM notebook n JOIN used USING (id) ORDER BY used.use_count DESC, n.ordinal LIMIT 1) m""")
 def lib_stats(spark, d):
-    return catalog.stats(catalog.with_usage(b.catalog(spark, d), b.usage_log(spark, d)), b.state(spark))
+    out = catalog.stats(catalog.with_usage(b.catalog(spark, d), b.usage_log(spark, d)), b.state(spark), "part")
+    records = [F.col(f"{which}_record.{c}").alias(f"{which}_{c}") for which in ("active", "most_used") for c in ("name", "url", "use_count", "topics")]
+    return out.select("total_notebooks", "total_topics", "total_use_count", "active_notebook", "most_used_notebook", *records, "library_path")
+
+
+@_query(f"WITH {_NOTEBOOK} SELECT count(*) AS n_results FROM notebook WHERE contains(lower(name), 'green')")
+def lib_search_count(spark, d):
+    return catalog.search_count(catalog.search(b.catalog(spark, d).select("id", "name", F.lit("").alias("description"), *[F.array().cast("array<string>").alias(c) for c in catalog.LISTS]), "GREEN"))
 
 
 @_query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS topic FROM part")
@@ -205,20 +215,22 @@ def ask_resolve(spark, d):
     return answers.resolve_targets(requests, b.catalog(spark, d), b.state(spark))
 
 
-@_query()
+@_query(f"WITH {_NOTEBOOK} SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, id, name, topics, CAST(0 AS BIGINT) AS use_count FROM notebook")
 def lib_scan(spark, d):
-    """The whole catalogue written to its JSON form, in bounded documents, and parsed again."""
-    text = library_json.to_json_blocks(b.catalog(spark, d), b.state(spark), b.AS_OF)
-    rows = library_json.parse(text).select("before", F.posexplode("doc.notebooks").alias("at", "id", "n"))
-    return rows.select((F.col("before") + F.col("at")).alias("ordinal"), "id", "n.name", "n.topics", "n.use_count")
+    """The whole catalogue written to files in its JSON form, in bounded documents, and read from there."""
+    folder = library_json.write_blocks(b.catalog(spark, d), b.state(spark), shared.new_folder(spark, "catalogue"), b.AS_OF)
+    return library_json.read_blocks(spark, folder)[0].select("ordinal", "id", "name", "topics", "use_count")
 
 
 # Sessions
 
 
-@_query("""WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 900 SECOND THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+_WINDOWS = """WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 900 SECOND THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
-SELECT user_id AS key, min(ts) AS created_at, max(ts) AS last_activity, count(*) AS message_count FROM s GROUP BY user_id, no""")
+SELECT user_id AS key, min(ts) AS created_at, max(ts) AS last_activity, count(*) AS message_count FROM s GROUP BY user_id, no"""
+
+
+@_query(_WINDOWS)
 def sess_windows(spark, d):
     return sessions.windows(b.observations(spark, d))
 
@@ -246,6 +258,12 @@ def sess_reset(spark, d):
     return sessions.epochs(b.observations(spark, d), F.col("text") == "signup")
 
 
+@_query("""WITH r AS (SELECT *, event_type = 'error' AS ends, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM events)
+SELECT user_id AS key, CAST(no AS BIGINT) AS session_no, min(ts) AS created_at, max(ts) AS last_activity, CAST(sum(CASE WHEN ends THEN 0 ELSE 1 END) AS BIGINT) AS message_count, bool_or(ends) AS closed FROM r GROUP BY 1, 2""")
+def sess_close(spark, d):
+    return sessions.until_closed(b.observations(spark, d), F.col("text") == "error")
+
+
 # Answers
 
 
@@ -327,7 +345,7 @@ def state_merge(spark, d):
     return state.overlay(rows, {"authenticated": (F.lit(True), saved), "origin": (F.lit("computed"), F.when(F.col("event_type") == "click", "saved"))}).select("event_id", "authenticated", "origin")
 
 
-@_query("SELECT event_id, epoch_us(ts) AS authenticated_at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS authenticated_at_iso FROM events")
+@_query("SELECT event_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS authenticated_at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS authenticated_at_iso FROM events")
 def state_ts_format(spark, d):
     return state.stamps(b.table(spark, d, "events"), "ts").select("event_id", "authenticated_at", "authenticated_at_iso")
 
@@ -402,11 +420,16 @@ def store_preview(spark, d):
 # Streams, run to the end of what is there
 
 
-@_query()
+def _plain(rows):
+    """Time stamps as the batch forms have them."""
+    return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else c for c, t in rows.dtypes])
+
+
+@_query(_WINDOWS)
 def stream_sessions(spark, d):
-    return live.drain_sessions(spark, f"{d}/events.parquet")
+    return _plain(live.drain_sessions(spark, f"{d}/events.parquet"))
 
 
-@_query()
+@_query("SELECT key, text, ts, 'success' AS status FROM (" + _stable_sql(3, "NOT thinking") + ")")
 def stream_answers(spark, d):
-    return live.drain_answers(spark, f"{d}/events.parquet")
+    return _plain(live.drain_answers(spark, f"{d}/events.parquet"))

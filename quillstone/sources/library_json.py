@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1000  # ordinals a document, where a catalogue is written as many
@@ -26,13 +26,20 @@ def read_library(spark: SparkSession, path: str, strict: bool = False) -> tuple[
     text = parse(spark.read.text(path, wholetext=True))
     if strict and text.filter("doc.notebooks is null").limit(1).count():
         raise CorruptLibrary(path)
-    empty = F.expr("map()").cast("map<string, struct<" + DOCUMENT.split("struct<", 1)[1].split(">>, active", 1)[0] + ">>")
-    rows = text.select(F.posexplode(F.coalesce("doc.notebooks", empty)).alias("ordinal", "key", "n"))
+    rows = text.select(F.posexplode(F.coalesce("doc.notebooks", _empty())).alias("ordinal", "key", "n"))
+    return _notebooks(rows), text.select(F.col("doc.active_notebook_id").alias("active_id"))
+
+
+def _empty() -> Column:
+    return F.expr("map()").cast("map<string, struct<" + DOCUMENT.split("struct<", 1)[1].split(">>, active", 1)[0] + ">>")
+
+
+def _notebooks(rows: DataFrame) -> DataFrame:
+    """Rows (ordinal, key, n), where n is a parsed notebook, as a catalogue."""
     lists = {c: F.coalesce(f"n.{c}", F.array().cast("array<string>")).alias(c) for c in ("topics", "content_types", "use_cases", "tags")}
     stamps = {c: F.try_to_timestamp(f"n.{c}").cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at", "last_used")}
     names = ["id", "url", "name", "description", "topics", "content_types", "use_cases", "tags", "created_at", "updated_at", "use_count", "last_used"]
-    catalog = rows.select(*[F.col("key").alias("id") if c == "id" else lists.get(c, stamps.get(c, F.col(f"n.{c}"))) for c in names], F.col("ordinal").cast("long").alias("ordinal"))
-    return catalog, text.select(F.col("doc.active_notebook_id").alias("active_id"))
+    return rows.select(*[F.col("key").alias("id") if c == "id" else lists.get(c, stamps.get(c, F.col(f"n.{c}"))) for c in names], F.col("ordinal").cast("long").alias("ordinal"))
 
 
 def _documents(catalog: DataFrame, state: DataFrame, now: str, *by: str) -> DataFrame:
@@ -68,3 +75,16 @@ def write_library(catalog: DataFrame, state: DataFrame, folder: str, now: str) -
     path = f"{folder.rstrip('/')}/version={now.replace(':', '-')}-{uuid.uuid4().hex[:8]}"
     to_json(catalog, state, now).coalesce(1).write.text(path)
     return path
+
+
+def write_blocks(catalog: DataFrame, state: DataFrame, folder: str, now: str, block: int = BLOCK) -> str:
+    """Write a catalogue of any size as many documents, one file each, below ``before=N`` folders; returns the folder."""
+    to_json_blocks(catalog, state, now, block).write.partitionBy("before").text(folder)
+    return folder
+
+
+def read_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(catalogue, state) of what ``write_blocks`` wrote: documents are parsed in parallel, and ordinals go on across them."""
+    text = parse(spark.read.schema("value string, before bigint").text(folder, wholetext=True))
+    catalog = _notebooks(text.select("before", F.posexplode(F.coalesce("doc.notebooks", _empty())).alias("at", "key", "n")).withColumn("ordinal", F.col("before") + F.col("at")))
+    return catalog, text.filter("before = 0").select(F.col("doc.active_notebook_id").alias("active_id"))

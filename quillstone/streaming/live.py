@@ -6,7 +6,6 @@ session time zone should be UTC.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,6 +17,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from quillstone.operators.answers import DEADLINE, SESSION
 from quillstone.operators.sessions import TIMEOUT
+from quillstone.shared import new_folder
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -93,15 +93,6 @@ def answer_stream(obs: DataFrame, k: int = SESSION, deadline: int | None = DEADL
     return obs.groupBy("key").transformWithStateInPandas(statefulProcessor=Settling(k, deadline), outputStructType=ANSWER, outputMode="Append", timeMode=mode)
 
 
-def _folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="quillstone-stream-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -112,7 +103,7 @@ def drain(stream: DataFrame, mode: str = "append", provider: str | None = None)
     and the last one counts.
     """
     spark = stream.sparkSession
-    folder, key = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    folder, key = new_folder(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     out, written = f"{folder}/out", []
 
