@@ -5,8 +5,14 @@ places, and tags, which score negative.  The weights are log-odds, learnt from t
 labelled pages of ``labelled_pages`` over three features of a token (tag name; the
 zone that the word stands in; its block and whether it is linked).  A linear scan
 finds the contiguous run of tokens with the largest sum, the content region, which
-is widened to whole blocks.  Blocks inside it whose own words sum below zero (an advert within an article, say) are left
-out.
+is widened to whole blocks.  Blocks inside it whose own words sum below zero (an
+advert within an article, say) are left out.
+
+A zone is named by an element or by a word of its class, id or role.  A word that is
+only part of a longer name gives a weaker zone, with a weight of its own; one beside
+a word that names content gives none.  If no run of tokens scores above zero, the
+page is read again without the zones that only such words have named, except those
+of comments, adverts, notices and forms.
 
 The words of one text run share their features, so the scan runs over text runs and
 tags and finds the same region as over single words.
@@ -15,10 +21,11 @@ Character references are decoded, white space inside a block becomes one space,
 block is trimmed, and blocks are joined by two line breaks in page order.
 
 Edge cases: null and empty pages give the empty text; a page in which no run of
-tokens scores above zero gives the empty text; unclosed tags, stray ``<``, unfinished
-comments and scripts are read as browsers do, to the end of the page if need be;
-pages of any length are read whole; repeated pages each get their row; other columns
-are ignored; an empty table gives an empty result.
+tokens scores above zero gives the empty text; unclosed tags, stray ``<`` and quotes,
+empty and unfinished comments and scripts are read as browsers do, to the end of the
+page if need be; pages of any length and depth of nesting are read whole, in linear
+time; repeated pages each get their row; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +52,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 ZONE_TAGS = {"head": "head", "nav": "menu", "menu": "menu", "footer": "footer", "header": "header", "aside": "side", "form": "form", "button": "form", "select": "form", "dialog": "notice", "fieldset": "form"}
 ZONE_WORDS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip toolbar topbar",
-    "footer": "footer foot copyright colophon legal",
+    "footer": "footer foot",
+    "legal": "copyright colophon legal",
     "header": "header masthead banner logo branding",
     "side": "sidebar aside side rail related recommended recommendations trending popular widget widgets complementary",
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted adsense adslot banner-ad",
@@ -56,21 +64,29 @@ ZONE_WORDS = {
 }
 _ZONE_OF = {w: zone for zone, words in ZONE_WORDS.items() for w in words.split()}
 #: Words of a class or id that name content.
-CONTENT_WORDS = frozenset("article content entry main post story text".split())
-#: These begin content, whatever was left open before them.
+CONTENT_WORDS = frozenset("article content entry main page post story text".split())
+#: These begin content, whatever menu, heading or form was left open before them.
 CONTENT_TAGS = frozenset({"article", "main"})
-
-_TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>?|[!?][^>]*>?|/[^>]*>?)""")
+LEFT_OPEN = frozenset({"", "menu", "header", "form", "weak menu", "weak header", "weak form"})
+#: Zones whose words name them also as a part of a longer name.
+SURE_ZONES = frozenset({"ad", "comment", "footer", "form", "notice", "side"})
+#: Elements of other languages than HTML, in which a closing slash counts.
+FOREIGN_TAGS = frozenset({"math", "svg"})
+
+# A quote begins a value only behind an equals sign; elsewhere it is part of a name.
+_TAG = re.compile(r"""<(?:!--(?:-?>)?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+)>?|[!?][^>]*>?|/[^>]*>?)""")
+_COMMENT_END = re.compile("--!?>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
 _PART = re.compile(r"[a-z]+")
 
 
-def _zone(name: str, attributes: str) -> str | None:
-    """The zone that an element opens, if any."""
+def _zone(name: str, attributes: str, words: bool = True) -> str | None:
+    """The zone that an element opens, if any; without ``words``, by its words only where these are sure."""
     zone = ZONE_TAGS.get(name)
     if not attributes or not attributes.strip():
         return zone
+    weak = None
     for key, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
@@ -79,17 +95,23 @@ def _zone(name: str, attributes: str) -> str | None:
             parts = _PART.findall(word)
             if parts[0] in ("has", "with", "no") or "with" in parts:
                 continue  # says what stands beside it
-            found = _ZONE_OF.get(word) or next((z for p in parts if (z := _ZONE_OF.get(p))), None)
-            if found == "header" and CONTENT_WORDS.intersection(parts):
-                continue  # the heading of an article
-            if found:
-                return found
-    return zone
-
-
-def tokens(page: str):
+            found = [z for p in parts if (z := _ZONE_OF.get(p))]
+            whole = _ZONE_OF.get(word) or (found[0] if len(found) == len(parts) else None)
+            if not whole and not found:
+                continue
+            first = whole or found[0]
+            if first not in SURE_ZONES and (not words or not whole and CONTENT_WORDS.intersection(parts)):
+                continue
+            if whole or first in SURE_ZONES:
+                return first
+            weak = weak or f"weak {first}"
+    return zone or weak
+
+
+def tokens(page: str, words: bool = True):
     """(kind, features, text) in page order: kind 0 a tag (name, zone), 1 a text run (zone, block, linked); a tag that breaks blocks has text None, else ''."""
     open_: list[tuple[str, str]] = []  # elements that may hold a zone, with the zone inside them
+    names: Counter = Counter()  # how many of each name are in it
     block, links, at, size = "body", 0, 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -107,8 +129,8 @@ def tokens(page: str):
         closing, name, attributes = m.groups()
         if name is None:
             if m.group() == "<!--":
-                end = page.find("-->", at)
-                at = size if end < 0 else end + 3
+                end = _COMMENT_END.search(page, at)
+                at = end.end() if end else size
             continue
         name = name.lower()
         breaks = name in BLOCK_TAGS
@@ -116,15 +138,18 @@ def tokens(page: str):
         if closing:
             if name == "a":
                 links = max(0, links - 1)
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    del open_[k:]
+            while names[name]:
+                last, _ = open_.pop()
+                names[last] -= 1
+                if last == name:
                     break
             if breaks:
                 block = "body"
             continue
-        if name in SKIPPED_TAGS and not attributes.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+        if name in FOREIGN_TAGS and attributes.endswith("/"):
+            continue
+        if name in SKIPPED_TAGS:
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if name in VOID_TAGS:
@@ -134,18 +159,23 @@ def tokens(page: str):
         if breaks:
             block = name
             links = 0 if name in CONTENT_TAGS else links
-        if name in CONTENT_TAGS or name == "body":
+        if name in ("body", "main") or name in CONTENT_TAGS and (not open_ or open_[-1][1] in LEFT_OPEN):
             open_.clear()
-        zone = _zone(name, attributes) if name not in ("html", "body") and name not in CONTENT_TAGS else None
+            names.clear()
+        zone = _zone(name, attributes, words) if name not in ("html", "body", "main") else None
+        if name in CONTENT_TAGS and zone not in SURE_ZONES:
+            zone = None
         inherited = open_[-1][1] if open_ else ""
         if zone == "header" and name == "header" and any(n in CONTENT_TAGS for n, _ in open_):
             zone = None  # the heading of an article is part of it
         if zone or breaks and name not in ("p", "li", "dt", "dd", "tr", "option"):
-            open_.append((name, inherited or zone or ""))
+            open_.append((name, zone if zone and inherited.startswith("weak ") else inherited or zone or ""))
+            names[name] += 1
 
 
 def _features(zone: str, block: str, linked: bool) -> tuple[str, str]:
-    return f"zone {zone}", f"block {block}{' linked' if linked else ''}"
+    link = " linked" if linked else ""
+    return f"zone {zone}{link if zone.startswith('weak') else ''}", f"block {block}{link}"
 
 
 _TALK = "the place of the first report was read by many and it was found that the work went on for years".split()
@@ -180,6 +210,13 @@ def labelled_pages():
     yield [(title + head + side + hidden, False), (f"<div>{prose}</div>", True), (ad, False), (f"<div>{rich}</div>", True), (related + foot, False)]
     yield [(menu, False), (f"{say(60)}<br><br>{say(45, 4)}<h3>{say(3)}</h3>{say(50, 2)}", True), (foot, False)]
     yield [(notice + menu + form, False), (loose + prose, True), (share + side + talk + hidden + foot, False)]
+    # Names that say menu or footer in part: links inside them are none of the content, plain blocks are.
+    listed = f'<ul class="tags-explained"><li>{say(14)}</li><li>{say(11, 5)}</li></ul><div class="menu-of-day"><p>{say(22, 3)}</p><p>{say(17, 8)}</p></div><div class="logo-history"><p>{say(30, 2)}</p></div><div class="legal-matters"><p>{say(28, 7)}</p></div>'
+    links = "".join(f"<li><a href='/{k}'>{say(2, k)}</a></li>" for k in range(6))
+    parts = f'<div class="main-nav-list"><ul>{links}</ul></div><div class="top-menu-items"><ul>{links}</ul></div><div class="site-logo"><a href="/">{say(2)}</a></div>'
+    bottom = f'<div class="site-footer-area"><p><a href="/a">{say(3)}</a> <a href="/b">{say(3, 2)}</a></p><p>{say(6)}</p></div><ul class="tags-list">{links}</ul><div class="share-links">{links}</div>'
+    yield [(title + parts, False), (f"<div>{prose}{listed}{rich}</div>", True), (bottom, False)]
+    yield [(parts + form, False), (f"<article>{rich}{listed}{prose}</article>", True), (bottom + foot, False)]
 
 
 @lru_cache(maxsize=1)
@@ -223,7 +260,7 @@ def _score(features: tuple[str, str, bool], w: dict[str, float]) -> float:
     """Per word: prior for words in the open, less or more by zone and block."""
     zone, block = _features(*features)
     inside = w.get(zone, UNSEEN["zone"])
-    return min(inside, 1.0) + 0.5 * w.get(block, UNSEEN["block"]) + (0.5 if not features[0] else -1.0)
+    return min(inside, 1.0) + 0.5 * w.get(block, UNSEEN["block"]) + (0.5 if not features[0] else 0.0 if features[0].startswith("weak") else -1.0)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -243,9 +280,13 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
+    return _extract(page, True) or _extract(page, False)
+
+
+def _extract(page: str, words: bool) -> str:
     w = weights()
     parts, scores, raw, memo, spent = [], [], [], {}, 0.0
-    for kind, features, text in tokens(page):
+    for kind, features, text in tokens(page, words):
         if kind == 0:
             score = w.get(f"tag {features[0]}", UNSEEN["tag"])
         elif features is None:

@@ -260,3 +260,52 @@ def test_machine_is_in_the_plan(spark, sf_dir):
 
     plan = queries.op8_chat_format(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "asked>assistant" in plan and "1answered" in plan
+
+
+def pipeline_tables(spark, tmp_path, docs, items):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = [F.lit("clash").alias(c) for c in ("lang_pred", "score", "n_tokens", "kept", "component_id", "hit_flags", "contaminated", "tie", "gone", "row", "bucket_len", "salt")]
+    frame.select("*", *extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    rng = random.Random(3)
+    say = lambda n, k: " ".join(f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{k}" for _ in range(n))
+    clean = say(60, "x")
+    leak = "one two three four five six seven eight nine ten eleven"
+    docs = [(1, clean, "en", "s", 1), (2, clean, "en", None, None), (3, None, None, None, None), (4, "", "en", "s", 0), (5, "12 !?", "en", "s", 1), (6, say(40, "y"), None, "s", 1), (None, say(30, "z"), "en", "s", 1), (7, f"{say(20, 'q')} {leak} {say(20, 'r')}", "en", "s", 1), (8, say(25, "v"), "en", "s", 1), (8, say(25, "w"), "en", "s", 1)]
+    docs.append(docs[-1])
+    sf = pipeline_tables(spark, tmp_path / "some", docs, [(1, leak), (None, None), (2, "")])
+    step, names = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, sf)
+        assert step.columns == corpus_pipeline.COLUMNS
+        names.append((name, sorted((r.doc_id or 0 for r in step.collect()))))
+    assert names == [("language_id", [0, 1, 2, 6, 7, 8, 8, 8]), ("line_dedup", [0, 1, 2, 6, 7, 8, 8, 8]), ("near_dedup", [0, 1, 6, 7, 8, 8, 8]), ("decontaminate", [0, 1, 6, 8, 8, 8])]
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0, 1, 6, 8, 8, 8]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    sf = pipeline_tables(spark, tmp_path / "none", [], [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    sf = pipeline_tables(spark, tmp_path / "plain", [(1, "some words of a text", "en", "s", 1)], [])
+    assert [r.doc_id for r in corpus_pipeline.run(spark, sf).collect()] == [1]
+
+
+def test_staged_tables_are_deleted(spark):
+    import os
+
+    from quillstone.llm._shared import _application_dir, release
+
+    release(spark)
+    out = near_dedup.near_components(cases.frame(spark, near_docs(1, 40)), percent=85)
+    left = {d.rsplit("-", 1)[0] for d in os.listdir(_application_dir(spark))}
+    assert {"signatures", "class-components"} <= left <= {"signatures", "class-components", "links", "labels"}
+    assert out.count() == 40
+    release(spark)
+    assert not os.path.exists(_application_dir(spark))
