@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,7 +93,7 @@ def base_figures(text):
             dup += line in seen
             seen.add(line)
     windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
-    often = {w for w in set(windows) if windows.count(w) > 1} if len(windows) < 500 else set(windows)
+    often = {w for w, n in Counter(windows).items() if n > 1}
     cover = {k + j for k, w in enumerate(windows) if w in often for j in range(3)}
     return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(cover)]
 
@@ -189,3 +190,127 @@ def test_language_edges(spark, model):
     assert language_id.language_id(cases.frame(spark), model).count() == len(cases.ROWS)
     blank = language_id.fit_model(spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string"))
     assert language_id.language_id(cases.frame(spark, [(4, "the")]), blank).first().lang_pred == "und"
+
+
+def test_expected_counts_over_all_segmentations():
+    """The E step against every segmentation one by one."""
+    from math import prod
+
+    pieces = sorted({"▁", "▁a", "a", "b", "ab", "ba", "aab", "é", "bé", "▁b"})
+    p = np.random.default_rng(3).random(len(pieces)) / 4
+    words = {"aab": 3, "abab": 2, "bébé": 1, "axb": 4, "b": 2, "aaaaab": 1}
+    lattice = language_id.Lattice(list(words), language_id.Trie([x.encode() for x in pieces]), {x for x in pieces if len(x) == 1}, len(pieces))
+    got = lattice.expected(np.log(np.append(p, language_id.FLOOR)), np.asarray(list(words.values()), float))
+    want = np.zeros(len(pieces) + 1)
+    for word, times in words.items():
+        s = "▁" + word
+
+        def ways(at, s=s):
+            if at == len(s):
+                yield []
+            for e in range(at + 1, len(s) + 1):
+                k = pieces.index(s[at:e]) if s[at:e] in pieces else len(pieces) if e == at + 1 else None
+                if k is not None:
+                    yield from ([k, *rest] for rest in ways(e))
+
+        chances = [(w, prod(np.append(p, language_id.FLOOR)[k] for k in w)) for w in ways(0)]
+        total = sum(c for _, c in chances)
+        for w, c in chances:
+            for k in w:
+                want[k] += times * c / total
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_a_repeated_id_or_text_crowds_out_nothing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = queries.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    flood = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("flood of words "), "id").alias("text"), F.lit("en").alias("lang"))
+    copies = spark.range(3000).select((F.col("id") + 10**7).alias("doc_id"), F.lit("the same text over and over").alias("text"), F.lit("de").alias("lang"))
+    dirty = spark.range(4000).select((F.col("id") + 10**8).alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("x"), "id").alias("lang"))
+    clean = language_id.fit_model(docs)
+    model = language_id.fit_model(docs.unionByName(flood).unionByName(copies).unionByName(dirty), fit_languages=12)
+    assert set(clean.languages) < set(model.languages) and len(model.languages) == 12
+    rows = docs.filter(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    found = language_id.language_id(rows, model).join(rows.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in found if r.lang_pred != "und"]) > 0.9
+
+
+def test_long_words_are_learnt(spark):
+    rows = [(k, "donaudampfschifffahrt" * 40 + " und", "de") for k in range(20)] + [(k + 100, "the cat of " + "x" * 3000, "en") for k in range(20)]
+    model = language_id.fit_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    scorer = language_id.Scorer(model)
+    assert scorer(["donaudampfschifffahrt " * 3, "x" * 50_000, "", None])[0] == ["de", "en", "und", "und"]
+
+
+SAY = "This is a sentence of many words that goes on for a while. "
+
+
+def test_pages_read_as_browsers_do():
+    ex = html_extract.extract
+    two = ex(f'<article><p class="x"">MIDDLE {SAY * 3}</p><p class="y">SECOND {SAY * 3}</p></article>')
+    assert two.startswith("MIDDLE This") and "\n\nSECOND This" in two and '">' not in two
+    assert ex(f"<article><p>A {SAY * 3}</p><!--><p>B {SAY * 3}</p><!---><p>C {SAY}</p><!-- x --!><p>D {SAY}</p></article>").count("\n\n") == 3
+    assert ex(f"<article><p>{SAY * 3}</p><script/>var x;</script><p>END {SAY}</p></article>").endswith(f"END {SAY.strip()}")
+    assert ex(f"<article><p>{SAY * 3}</p><svg/><p>END {SAY}</p></article>").count("\n\n") == 1
+    assert ex(f"<article><p a=b'c d=\"e>f\">{SAY * 3}</p></article>") == (SAY * 3).strip()
+
+
+def test_names_do_not_overrule_content():
+    ex = html_extract.extract
+    assert ex(f'<main><p>{SAY * 6}</p></main><aside class="sidebar"><article><p>CARD {SAY * 3}</p></article></aside>') == (SAY * 6).strip()
+    assert ex(f"<main class='legal-page'><div class='legal-text'><p>{SAY * 3}</p></div></main>") == (SAY * 3).strip()
+    assert ex(f"<div class='legal'><p>{SAY * 3}</p></div>") == (SAY * 3).strip()
+    inside = f'<ul class="tags-explained"><li>{SAY}</li><li>{SAY}</li></ul><div class="story-menu"><p>{SAY}</p></div>'
+    assert ex(f"<article><p>{SAY * 4}</p>{inside}<p>{SAY * 4}</p></article>").count("\n\n") == 4
+    for zone in ("comments", "cookie-bar-wrap", "ad-slot", "site-footer", "sidebar-left"):
+        assert ex(f'<div class="{zone}"><p>{SAY * 2}</p></div><article><p>{SAY * 6}</p></article><div class="{zone}"><p>{SAY * 2}</p></div>') == (SAY * 6).strip()
+    links = "<li><a href=x>Home page</a></li>" * 8
+    assert ex(f'<div class="main-nav-x"><ul>{links}</ul></div><div><p>{SAY * 6}</p></div><ul class="share-it">{links}</ul>') == (SAY * 6).strip()
+    assert ex(f'<nav><a href=x>a</a></nav><div class="comments"><p>{SAY * 3}</p></div>') == ""
+
+
+def test_any_nesting_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>" * 40_000 + "</span>" * 40_000, '<div class="a">' * 40_000 + "words " + "</div>" * 40_000, '<p a="' * 20_000, "<!--" * 50_000, "<" * 100_000, "<p" + " a" * 100_000, "<p a='x\"" * 20_000):
+        html_extract.extract(page + f"<p>{SAY}</p>")
+    assert time.process_time() - began < 10
+
+
+def test_extraction_against_brute_force():
+    """Random pages: of all ranges of tokens the best one, widened to whole blocks, without blocks that sum below zero."""
+    rng = random.Random(17)
+    bits = ["<p>", "</p>", "<div>", "</div>", "<div class='ad'>", "<ul class='x-menu'>", "</ul>", "<li>", "<a href='/'>", "</a>", "<b>", "</b>", "<br>", "<nav>", "</nav>", "<article>", "</article>", "<aside>", "</aside>", "<footer>", "some words here ", "one ", f"{SAY}", " &amp; ", "\n", "<!-- c -->", "<h2>", "</h2>"]
+    w = html_extract.weights()
+    for _ in range(300):
+        page = "".join(rng.choices(bits, k=rng.randint(0, 40)))
+        want = ""
+        for words in (True, False):
+            found = list(html_extract.tokens(page, words))
+            own, scores, spent = [], [], 0.0
+            for kind, features, text in found:
+                s = w.get(f"tag {features[0]}", -0.6) if kind == 0 else 0.0 if features is None else html_extract._score(features, w) * len(text.split())
+                own.append(s if kind else 0.0)
+                if features and features[1 - kind] and s < 0:
+                    s = max(s, html_extract.ZONE_FLOOR - spent)
+                    spent += s
+                elif kind == 1 and features and not features[0]:
+                    spent = 0.0
+                scores.append(s)
+            sums = [(round(sum(scores[i:j]), 9), -i, -j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+            if not sums or max(sums)[0] <= 0:
+                continue
+            _, i, j = max(sums)
+            i, j = -i, -j
+            edges = [-1, *[k for k, (_, _, text) in enumerate(found) if text is None], len(found)]
+            blocks = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                inside = range(a + 1, b)
+                if any(i <= k < j for k in inside) and sum(own[k] for k in inside) >= 0:
+                    blocks.append(" ".join("".join(found[k][2] for k in inside).replace("&amp;", "&").split()))
+            want = "\n\n".join(x for x in blocks if x)
+            if want:
+                break
+        assert html_extract.extract(page) == want, page
