@@ -10,16 +10,16 @@ chunk a map from entry to exit state; the maps compose through a parallel prefix
 scan (doubling), so that every chunk learns its entry state; a second lockstep
 pass then marks where pieces begin.
 
-*Piece transducer.*  A state stands for a prefix of a piece and holds the last
-token of the prefix's encoding; each byte transition is annotated with the tokens
-that it adds (0, 1, or a correction below 0).  The last token of a prefix is its
-longest suffix token that may follow the last token of what is before it, where
-"may follow" means that the encoder leaves the two tokens apart.  States are made
-on first use, and dropped all together beyond ``MAX_STATES`` or ``MAX_BYTES``.  Counts
-of whole pieces are remembered in two generations, so that frequent ones stay.  A piece
-beyond ``LONG_PIECE`` bytes runs through the same machine without leaving a state or
-a remembered count behind: it needs the states of as many prefixes as the longest
-token has bytes, in a ring.
+*Piece transducer.*  It reads the bytes of a piece and keeps, per prefix, the last
+token of the prefix's encoding and the number of tokens so far: a transition adds
+one to the number of the prefix that the last token follows.  The last token of a
+prefix is its longest suffix token that may follow the last token of what is before
+it, where "may follow" means that the encoder leaves the two tokens apart.  The
+trie of the tokens and the pairs tested so far are open-addressed tables in numpy.
+The different pieces of a slice that were not seen before run in lockstep, one
+position after the other.  Their counts are remembered in two generations of bounded
+size.  A piece beyond ``LONG_PIECE`` bytes runs alone and leaves nothing behind: it
+needs as many prefixes as the longest token has bytes, in a ring.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; the special strings
 of the tokenizer inside a text count as one token each, as the library does by
@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import two_columns, with_columns_from
+from ._shared import IntMap, Memo, Texts, Trie, as_texts, distinct, two_columns, with_columns_from
 
 CHUNK = 64
 LONG = 1 << 20  # characters beyond which a text is counted in parts
-MAX_STATES, MAX_PAIRS = 500_000, 600_000
-MAX_BYTES = 64 << 20  # of prefixes that name states
-MAX_MEMO, MAX_MEMO_CHARS = 600_000, 16 << 20  # pieces in each of two generations, and their characters
+MAX_PAIRS = 600_000  # of tokens, whose test is remembered
+MAX_MEMO, MAX_MEMO_BYTES = 600_000, 16 << 20  # pieces in each of two generations, and their bytes
 LONG_PIECE = 256  # bytes beyond which nothing of a piece is kept
 _NEVER = 1 << 60
 _SHORT = (3, 2, 1)
@@ -154,13 +152,9 @@ class PieceTransducer:
         self.lengths = {end: (*sorted(found, reverse=True), 3, 2, 1) for end, found in ends.items() if len(end) == 4}
         self.longest = max(map(len, self.tokens))
         self.trails: dict[int, tuple[list, list] | None] = {}
-        self.apart: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        #: Of each state, named by its prefix: tokens so far << 20 | number of the last one.
-        self.states: dict[bytes, int] = {b"": 0}
-        self.held = 0  # bytes of those names
+        self.sound = np.full(len(self.tokens), -1, np.int8)  # whether a token encodes to itself; -1: not known yet
+        self.trie = Trie(self.tokens)
+        self.pairs = IntMap(MAX_PAIRS)
 
     def _merge(self, parts: list[bytes]) -> tuple[list[bytes], int | None]:
         """Merge every occurrence of the pair that ranks first, from the left."""
@@ -218,40 +212,76 @@ class PieceTransducer:
             else:
                 j += 1
 
-    def _follows(self, before: int, token: int) -> bool:
-        """Whether the token may follow the last one of the state ``before``."""
-        apart = self.apart
-        key = (before & 0xFFFFF) << 20 | token
-        ok = apart.get(key)
-        if ok is None:
-            if len(apart) > MAX_PAIRS:
-                apart.clear()
-            ok = apart[key] = self._stay_apart(key >> 20, token)
-        return ok
-
-    def _grow(self, data: bytes, size: int) -> None:
-        """Make the state of ``data[:size]`` from the states of its prefixes."""
-        number, trails, states, apart = self.number.get, self.trails, self.states, self.apart.get
-        for n in self.lengths.get(data[size - 4 : size], _SHORT) if size >= 4 else _SHORT:
-            if n > size:
-                continue
-            token = number(data[size - n : size])
-            if token is None or not (trails.get(token) or self._trail(token)):
-                continue
-            before = states[data[: size - n]]
-            if n < size:
-                ok = apart((before & 0xFFFFF) << 20 | token)
-                if not (self._follows(before, token) if ok is None else ok):
-                    continue
-            states[data[:size]] = ((before >> 20) + 1) << 20 | token
-            return
-        raise AssertionError("a single byte is always a token")
+    def _follow(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token may follow the one before it."""
+        keys = before.astype(np.int64) << 20 | tokens
+        found = self.pairs.get(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            different, which = np.unique(keys[new], return_inverse=True)
+            made = np.fromiter((self._stay_apart(k >> 20, k & 0xFFFFF) for k in different.tolist()), np.int32, len(different))
+            found[new] = made[which]
+            if self.pairs.used + len(different) > MAX_PAIRS:
+                self.pairs = IntMap(MAX_PAIRS)
+            self.pairs.put(different[:MAX_PAIRS], made[:MAX_PAIRS])
+        return found > 0
+
+    def _arcs(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, length and number of every sound token in ``data`` that does not pass the end given for its begin."""
+        begin, length, token = self.trie.arcs(data, ends)
+        for k in np.unique(token[self.sound[token] < 0]).tolist():
+            self.sound[k] = self._trail(k) is not None
+        sound = self.sound[token] > 0
+        return begin[sound], length[sound], token[sound]
+
+    def counts(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of tokens of each piece; none is empty."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out = np.zeros(len(pieces), np.int64)
+        for k in np.flatnonzero(sizes > LONG_PIECE).tolist():
+            out[k] = self._count_long(pieces[k])
+        for low, high in ((0, 24), (24, LONG_PIECE)):  # few positions for the many short ones
+            some = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(some):
+                out[some] = self._together(b"".join([pieces[k] for k in some.tolist()]), sizes[some])
+        return out
+
+    def _together(self, joined: bytes, sizes: np.ndarray) -> np.ndarray:
+        """All pieces in lockstep: position after position, and at each the tokens that end there, longest first."""
+        data = np.frombuffer(joined, np.uint8).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        piece = np.repeat(np.arange(len(sizes)), sizes)
+        begin, length, token = self._arcs(data, (first + sizes)[piece])
+        owner = piece[begin]
+        end = begin + length
+        order = np.lexsort((-length, end))
+        begin, end, token, owner = begin[order], end[order], token[order], owner[order]
+        head = np.flatnonzero(np.diff(end, prepend=-1))  # of the tokens that end at one place
+        rank = np.arange(len(end)) - np.repeat(head, np.diff(head, append=len(end)))
+        place = end - first[owner]
+        step = place * (self.longest + 1) + rank
+        order = np.argsort(step, kind="stable")
+        begin, end, token, owner, step = begin[order], end[order], token[order], owner[order], step[order]
+        source, target, opens = begin + owner, end + owner, begin == first[owner]  # a state before each byte and one at the end
+        last, number = np.full(len(data) + len(sizes), -1, np.int64), np.zeros(len(data) + len(sizes), np.int64)
+        cuts = np.flatnonzero(np.diff(step, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(step)], strict=True):
+            s, t, k = source[a:b], target[a:b], token[a:b]
+            open_ = last[t] < 0
+            s, t, k, o = s[open_], t[open_], k[open_], opens[a:b][open_]
+            inner = np.flatnonzero(~o)
+            ok = o.copy()
+            ok[inner] = self._follow(last[s[inner]], k[inner])
+            last[t[ok]] = k[ok]
+            number[t[ok]] = number[s[ok]] + 1
+        return number[first + sizes + np.arange(len(sizes))]
 
     def _count_long(self, data: bytes) -> int:
-        """The same steps with the last states in a ring."""
-        number, trails, lengths, apart = self.number.get, self.trails, self.lengths, self.apart.get
+        """The same steps for one piece, with the last states, as tokens so far << 20 | number of the last one, in a ring."""
+        number, trails, lengths = self.number.get, self.trails, self.lengths
         width = self.longest + 1
         ring = [0] * width
+        apart: dict[int, bool] = {}
         for size in range(1, len(data) + 1):
             for n in lengths.get(data[size - 4 : size], _SHORT) if size >= 4 else _SHORT:
                 if n > size:
@@ -261,8 +291,13 @@ class PieceTransducer:
                     continue
                 before = ring[(size - n) % width]
                 if n < size:
-                    ok = apart((before & 0xFFFFF) << 20 | token)
-                    if not (self._follows(before, token) if ok is None else ok):
+                    key = (before & 0xFFFFF) << 20 | token
+                    ok = apart.get(key)
+                    if ok is None:
+                        if len(apart) > MAX_PAIRS:
+                            apart.clear()
+                        ok = apart[key] = self._stay_apart(key >> 20, token)
+                    if not ok:
                         continue
                 ring[size % width] = ((before >> 20) + 1) << 20 | token
                 break
@@ -270,22 +305,6 @@ class PieceTransducer:
                 raise AssertionError("a single byte is always a token")
         return ring[len(data) % width] >> 20
 
-    def count(self, data: bytes) -> int:
-        """Enter at the longest prefix that has a state, and make the others from there."""
-        if len(data) > LONG_PIECE:
-            return self._count_long(data)
-        states = self.states
-        n = k = len(data)
-        while data[:k] not in states:
-            k -= 1
-        for size in range(k + 1, n + 1):
-            self._grow(data, size)
-        total = states[data] >> 20
-        self.held += (n - k) * (n + k + 1) // 2
-        if len(states) > MAX_STATES or self.held > MAX_BYTES:
-            self.reset()
-        return total
-
 
 #: Between two letters, a space always begins a piece, whatever stands around them.
 _SURE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
@@ -313,29 +332,14 @@ class Counter:
         self.pieces = PieceTransducer([(bytes(letters[c] for c in a), bytes(letters[c] for c in b)) for a, b in pairs])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.memo: dict[str, int] = {}
-        self.old: dict[str, int] = {}
-        self.held = 0  # characters of the pieces in memo
-
-    def _piece(self, piece: str) -> int:
-        if (found := self.memo.get(piece)) is not None:
-            return found
-        if len(piece) > LONG_PIECE:
-            return self.pieces.count(piece.encode())
-        if len(self.memo) > MAX_MEMO or self.held > MAX_MEMO_CHARS:  # what is still in use comes back from the old generation
-            self.old, self.memo, self.held = self.memo, {}, 0
-        found = self.old.get(piece)
-        if found is None:
-            found = self.pieces.count(piece.encode())
-        self.memo[piece] = found
-        self.held += len(piece)
-        return found
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        self.remembered = Memo(MAX_MEMO, MAX_MEMO_BYTES, LONG_PIECE)
+
+    def __call__(self, texts: Texts | list[str | None]) -> np.ndarray:
+        texts = as_texts(texts)
         parts: list[str] = []
         owner: list[int] = []
         out = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
+        for k, text in enumerate(texts.strings()):
             if not text:
                 continue
             if self.special and "<|" in text:
@@ -357,22 +361,23 @@ class Counter:
 
     def _count(self, parts: list[str]) -> np.ndarray:
         """Tokens of each part."""
-        points = np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le"), np.uint32).astype(np.int32)
+        joined = "\0".join([*parts, ""])
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int32)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.cumsum(sizes + 1) - 1
         points[ends] = 0x110000
         flags = piece_starts(points)
         flags[ends] = True
         starts = np.flatnonzero(flags)
-        begins = starts[points[starts] != 0x110000]
-        mark = next(c for c in range(0xE000, 0x110000) if not (points == c).any())  # no text of the slice has it
-        points[ends] = mark
-        pieces = np.insert(points, begins, mark).astype(np.uint32).tobytes().decode("utf-32-le").split(chr(mark))
-        pieces = list(filter(None, pieces))  # every piece has a character; marks may stand side by side
-        counts = np.fromiter(map(self.memo.get, pieces, repeat(-1)), np.int64, len(pieces))
-        for k in np.flatnonzero(counts < 0).tolist():
-            counts[k] = self._piece(pieces[k])
-        part = np.searchsorted(ends, begins)
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        places = np.flatnonzero((raw & 0xC0) != 0x80)  # the first byte of each character
+        bounds = np.append(places[starts], len(raw))
+        real = points[starts] != 0x110000
+        kept = np.ones(len(raw), bool)
+        kept[places[ends]] = False
+        which, pieces = distinct(raw[kept], np.diff(bounds)[real])
+        counts = self.remembered(pieces, self.pieces.counts)[which]
+        part = np.searchsorted(ends, starts[real])
         return np.bincount(part, counts, len(parts)).astype(np.int64)
 
 
@@ -394,9 +399,8 @@ def with_token_counts(df: DataFrame, text_col: str = "text", path: str | None =
     def make():
         count = counter(path)
 
-        def work(texts):
-            sizes = [len(t.encode()) if t else 0 for t in texts]
-            return [pa.array(sizes, pa.int64()), pa.array(count(texts), pa.int64())]
+        def work(texts: Texts):
+            return [pa.array(np.diff(texts.bounds)), pa.array(count(texts))]
 
         return work
 

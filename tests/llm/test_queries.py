@@ -12,7 +12,7 @@ SHAPES = {
     "op5_quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"],
     "op6_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
-    "op10_packing": ["doc_id", "piece", "n_tokens", "bucket_len", "batch_id", "slot"],
+    "op10_packing": ["doc_id", "piece", "start", "n_tokens", "bucket_len", "batch_id", "slot"],
 }
 
 

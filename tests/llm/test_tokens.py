@@ -47,8 +47,8 @@ def test_long_texts_in_parts(monkeypatch):
     assert token_counts.Counter(token_counts.default_path())(rows).tolist() == want
 
 
-def test_states_may_be_dropped(monkeypatch):
-    monkeypatch.setattr(token_counts, "MAX_STATES", 50)
+def test_what_is_remembered_may_be_dropped(monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_PAIRS", 50)
     monkeypatch.setattr(token_counts, "MAX_MEMO", 20)
     rows = texts(30, 5)
     want = [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch(rows, add_special_tokens=False)]
@@ -68,12 +68,13 @@ def test_one_run_of_a_megabyte():
 def test_what_is_kept_is_bounded(monkeypatch):
     rows = ["".join(random.Random(k).choices("abcdé", k=n)) for k, n in enumerate([255, 256, 257, 300, 2000, *range(1, 200)])]
     want = [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch(rows, add_special_tokens=False)]
-    monkeypatch.setattr(token_counts, "MAX_BYTES", 20_000)
-    monkeypatch.setattr(token_counts, "MAX_MEMO_CHARS", 1000)
+    monkeypatch.setattr(token_counts, "MAX_MEMO_BYTES", 1000)
+    monkeypatch.setattr(token_counts, "MAX_PAIRS", 100)
     run = token_counts.Counter(token_counts.default_path())
     assert run(rows).tolist() == want == run(rows).tolist()
-    assert sum(map(len, run.pieces.states)) <= 20_000 + 256 * 257 // 2
-    assert max(sum(map(len, run.memo)), sum(map(len, run.old))) <= 1256 and max(map(len, run.memo | run.old)) <= 256
+    held = run.remembered
+    assert max(sum(map(len, held.memo)), sum(map(len, held.old))) <= 1000 and max(map(len, held.memo | held.old)) <= 256
+    assert run.pieces.pairs.used <= 100
 
 
 def test_counts_query(spark):
@@ -84,12 +85,17 @@ def test_counts_query(spark):
     assert token_counts.token_counts(cases.empty(spark)).count() == 0
 
 
-def test_encoder_equals_the_library():
+def test_encoder_equals_the_library(monkeypatch):
     rows = [t for _, t in cases.ROWS] + texts(300, 2)
     run = token_files.Encoder(token_files.default_path())
     assert run.by_word
-    want = [e.ids for e in library("word_bpe_49k.json").encode_batch([t or "" for t in rows], add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in run(rows)] == want
+    want = [[*e.ids, 1] for e in library("word_bpe_49k.json").encode_batch([t or "" for t in rows], add_special_tokens=False)]
+    ids, sizes = run(rows)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    monkeypatch.setattr(token_files, "MAX_MEMO", 30)
+    monkeypatch.setattr(token_files, "PART_BYTES", 50)
+    for text, x in zip(rows, want, strict=True):  # one by one, long ones in parts, and the memo dropped again and again
+        assert run([text])[0].tolist() == x
 
 
 def test_files_round_trip(spark):
@@ -155,4 +161,70 @@ def test_packing_is_whole(spark):
     for b in {r.bucket_len for r in rows}:  # only a bucket's last batch may be short
         full = [len(v) for k, v in sorted(batches.items()) if v[0][1] == b]
         assert all(n == 2048 // b for n in full[:-1])
+    by_id = {}
+    for r in rows:
+        by_id.setdefault((r.doc_id, r.piece), []).append((r.start, r.n_tokens))
+    assert all(start == 512 * piece for (_, piece), found in by_id.items() for start, _ in found)
+    # the buckets are the best ones of all the pieces' lengths, and each piece is in the smallest that holds it
+    lengths = [n for x in want for n in [512] * ((x - 1) // 512) + [(x - 1) % 512 + 1]]
+    assert sorted(r.n_tokens for r in rows) == sorted(lengths)
+    different = sorted(set(lengths))
+    bounds = sorted({r.bucket_len for r in rows})
+    assert all(r.bucket_len == min(b for b in bounds if b >= r.n_tokens) for r in rows)
+    assert sum(r.bucket_len - r.n_tokens for r in rows) == least_padding(different, [lengths.count(x) for x in different], 3)
     assert packing.pack(cases.empty(spark)).count() == 0
+
+
+def test_packing_splits_rows_without_an_id(spark):
+    """Many rows without an id, and many that repeat one, spread over the shards."""
+    lengths = spark.createDataFrame([(None if k % 2 else 5, 7) for k in range(3000)], "doc_id long, n long")
+    out = packing.pack_lengths(lengths, max_len=16, buckets=2, budget=64, shard_rows=100)
+    assert out.select("batch_id", "slot").distinct().count() == 3000
+    found = {r.batch_id: r for r in out.groupBy("batch_id").agg({"doc_id": "count", "slot": "count"}).collect()}
+    mixed = sum(0 < r["count(doc_id)"] < r["count(slot)"] for r in found.values())
+    assert mixed > len(found) / 2
+
+
+def test_orc_metadata_lets_a_reader_skip(spark):
+    """The files hold row indexes and Bloom filters, and a lookup reads less than the whole."""
+    from pyspark.sql import functions as F
+
+    path = new_path(spark, "orc-metadata")
+    docs = spark.range(0, 40_000, 2).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    token_files.write_token_files(docs.coalesce(1), path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/tokens")
+    names = [s.getPath() for s in folder.getFileSystem(conf).listStatus(folder) if s.getPath().getName().endswith(".orc")]
+    kinds, strides = set(), set()
+    for name in names:
+        reader = jvm.org.apache.orc.OrcFile.createReader(name, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        strides.add(reader.getRowIndexStride())
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            kinds |= {s.getKind().toString() for s in rows.readStripeFooter(stripe).getStreamsList()}
+    assert strides == {1000} and "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
+
+    def rows_read(ids):
+        found = token_files.read_token_files(spark, path, ids)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        import re
+
+        text = plan.toString()
+        assert re.search(r"PushedFilters: \[[^\]]*doc_id", text), text
+        scans, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+            if node.nodeName().startswith("AdaptiveSparkPlan"):
+                todo.append(node.executedPlan())
+            elif node.nodeName().endswith("QueryStage"):
+                todo.append(node.plan())
+            if node.nodeName().startswith("Scan orc") and "n_tokens" in node.toString():
+                scans.append(node.metrics().apply("numOutputRows").value())
+        return found.count(), max(scans)
+
+    there, read = rows_read([6 * 1234])
+    assert there == 1 and read <= 5000  # of 20,000: only row groups that may hold the id
+    absent, read = rows_read([6 * 1234 + 1])  # inside the range of a row group, but the Bloom filter knows better
+    assert absent == 0 and read == 0
