@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -87,11 +89,29 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+MARK_BITS = 1 << 24
+
+
+def marked(df: DataFrame, key: str, ids: DataFrame, bits: int = MARK_BITS) -> DataFrame:
+    """``df`` with ``maybe``: true for every row whose key is among ``ids`` (one column of that name), and for few others.
+
+    What is broadcast is a bitmap of ``bits`` bits in words of 64, so at most
+    ``bits`` / 64 rows whatever the number of ids; the fuller it is, the more others
+    pass.  A join that has to move rows need only move those.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    word = F.floor(place / 64).cast("long")
+    words = ids.select(word.alias("mark_word"), one.alias("bit")).groupBy("mark_word").agg(F.bit_or("bit").alias("mark_bits"))
+    out = df.withColumn("mark_word", word).withColumn("mark_bit", one).join(F.broadcast(words), "mark_word", "left")
+    return out.withColumn("maybe", F.coalesce(F.col("mark_bits").bitwiseAND(F.col("mark_bit")) != 0, F.lit(False))).drop("mark_word", "mark_bit", "mark_bits")
+
+
 class Texts:
     """Some rows of a string column; a null is the empty text."""
 
     def __init__(self, column: pa.Array):
-        self.column = column.fill_null("")
+        self.column = column.fill_null("") if column.null_count else column
         _, offsets, data = self.column.buffers()
         n, at = len(self.column), self.column.offset
         if offsets is None or not n:
@@ -304,6 +324,8 @@ def with_columns_from(
             for a, b, texts in Texts(batch.column(at)).slices():
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in back], *work(texts)], names=names)
+        del work
+        give_back()
 
     return base.mapInArrow(run, schema)
 
@@ -325,6 +347,31 @@ class Keyed:
         return self.key == other.key
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """What ``make`` gives, kept in the worker process for its next tasks until another is asked for.
+
+    A process serves the stages of many operators; it holds the tables and memos of one.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        give_back()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def give_back() -> None:
+    """Return memory that is free to the system, which else stays with the process while others need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit values (public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

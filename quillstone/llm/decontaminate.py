@@ -23,13 +23,12 @@ is empty.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Keyed, Texts, two_columns
+from ._shared import Keyed, Texts, resident, two_columns
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
@@ -102,12 +101,6 @@ class Searcher:
         return hit, items
 
 
-@lru_cache(maxsize=1)
-def _searcher(held: Keyed) -> Searcher:
-    """The tables are built once per worker process and block of items."""
-    return Searcher(*held.value)
-
-
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int):
     """The query set in blocks; which block an item is in depends on its hash alone."""
     two = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
@@ -136,7 +129,7 @@ def scan(docs: DataFrame, items: DataFrame, item_id_col: str = "item_id", item_t
         out = [*rest, *(["text"] if keep_text or not last else []), *(names[2:] if last else names[:2])]
 
         def run(batches, held=held, last=last, first=first, out=out):
-            search = _searcher(held)
+            search = resident(("searcher", held), lambda: Searcher(*held.value))
             for batch in batches:
                 for a, b, texts in Texts(batch.column("text")).slices():
                     rows = {c: [] for c in names}

@@ -23,7 +23,6 @@ row; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Keyed, Texts, Trie, Words, as_texts, two_columns, with_columns_from
+from ._shared import Keyed, Texts, Trie, Words, as_texts, resident, two_columns, with_columns_from
 
 FIT_DOCS, FIT_LANGUAGES, FIT_ROUNDS, FOLDS = 200, 200, 3, 5
 FLOOR = 1e-8  # of a letter for which the vocabulary has no piece
-MAX_MEMO, MAX_MEMO_BYTES = 400_000, 16 << 20  # words remembered, and their bytes
+MAX_MEMO, MAX_MEMO_BYTES = 300_000, 16 << 20  # words remembered, and their bytes
 LONG_WORD = 256  # bytes beyond which a word is not remembered
 LOCKSTEP = 28  # letters up to which no product can underflow
 CELLS = 8 << 20  # of words times languages that are handled at a time
@@ -155,7 +154,7 @@ class Model:
             self._prepare()
         out = np.empty((len(words), len(self.languages)))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        some = max(1, min(20_000, CELLS // 64 // max(1, len(self.languages))))
+        some = max(1, min(5_000, CELLS // 64 // max(1, len(self.languages))))
         for short in (True, False):
             which = np.flatnonzero((sizes <= LOCKSTEP) == short)
             which = which[np.argsort(sizes[which], kind="stable")]
@@ -281,17 +280,12 @@ class Scorer:
         return [languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), has.tolist(), strict=True)], score.tolist()
 
 
-@lru_cache(maxsize=1)
-def _scorer(held: Keyed) -> Scorer:
-    return Scorer(held.value)
-
-
 def with_language(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """All columns of ``df`` and lang_pred, score; one narrow pass.  The model's size is that of the vocabulary times the languages."""
     held = Keyed(df.sparkSession.sparkContext.broadcast(model))
 
     def make():
-        score = _scorer(held)
+        score = resident(("language", held), lambda: Scorer(held.value))
 
         def work(texts):
             langs, scores = score(texts)

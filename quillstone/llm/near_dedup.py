@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import SLICE_BYTES, Stage, mix64, two_columns, with_columns_from
+from ._shared import SLICE_BYTES, Stage, marked, mix64, resident, two_columns, with_columns_from
 
 SHINGLE, PERMUTATIONS, ROWS, PARITY = 5, 48, 4, 2048
 #: Members of a block (a bucket is cut into about 8 blocks, within these limits), and pairs of one set in one place.
@@ -141,6 +141,8 @@ def bands_of(signs: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def parities(sets: list[np.ndarray], bits: int = PARITY) -> np.ndarray:
     """Two bitmaps per set, of each of which each item flips one bit: (sets, 2 * bits / 8) bytes."""
+    if len(sets) > 512:
+        return np.concatenate([parities(sets[k : k + 512], bits) for k in range(0, len(sets), 512)])
     owner, items = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
     both = []
     for shift in (40, 8):
@@ -154,6 +156,8 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     fields = [T.StructField(c, t) for c, t in (("n_shingles", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("parity", T.BinaryType()))]
 
     def make():
+        resident("shingles", dict)  # nothing is kept, and nothing of another operator
+
         def work(texts):
             sets = shingle_sets(texts.strings(), size)
             sizes = np.asarray([len(s) for s in sets], np.int64)
@@ -176,12 +180,12 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """The sets of the documents in ``ids``, made anew from their texts."""
+    """The sets of the documents in ``ids``, made anew from their texts; few other texts are moved for it."""
 
     def make():
         return lambda texts: [pa.array([s.view(np.int64) for s in shingle_sets(texts.strings(), size)], pa.list_(pa.int64()))]
 
-    found = docs.join(ids, "doc_id", "left_semi")
+    found = marked(docs, "doc_id", ids).filter("maybe").select(*docs.columns).join(ids, "doc_id", "left_semi")
     return with_columns_from(found, "text", [T.StructField("items", T.ArrayType(T.LongType()))], make, keep_text=False)
 
 
@@ -322,7 +326,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = stage(shared.join(buckets, "band").filter("node <> pivot"), "bucket-members")
     tried = met.groupBy(F.col("node").alias("u"), F.col("pivot").alias("v")).agg(F.max("m").alias("uses"))
     uses = met.groupBy(F.col("pivot").alias("v")).agg(F.max("m").alias("uses"))
-    sets = stage(_full_sets(docs, met.select(F.explode(F.array("node", "pivot")).alias("doc_id")).distinct(), shingle), "shingle-sets")
+    wanted = stage(met.select(F.explode(F.array("node", "pivot")).alias("doc_id")).distinct(), "wanted")
+    sets = stage(_full_sets(docs, wanted, shingle), "shingle-sets")
     labels = components(stage(_confirmed(sets, tried, percent, uses), "links"))
 
     # Buckets in which members beside the smallest are in different components.
@@ -349,3 +354,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``df``, all columns, without those whose document is not the smallest of its component.
+
+    Only rows that a bitmap of the ids to drop marks are moved to be held against these ids.
+    """
+    found = near_components(df, id_col, text_col, percent, shingle)
+    gone = Stage(df.sparkSession)(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    rows = marked(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id")), "doc_id", gone)
+    sure, rest = rows.filter("not maybe").select("row"), rows.filter("maybe").join(gone, "doc_id", "left_anti").select("row")
+    return sure.union(rest).select(*[F.col("row").getField(c).alias(c) for c in df.columns])

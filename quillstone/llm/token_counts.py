@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import IntMap, Memo, Texts, Trie, as_texts, distinct, two_columns, with_columns_from
+from ._shared import IntMap, Memo, Texts, Trie, as_texts, distinct, resident, two_columns, with_columns_from
 
 CHUNK = 64
 LONG = 1 << 20  # characters beyond which a text is counted in parts
 MAX_PAIRS = 600_000  # of tokens, whose test is remembered
-MAX_MEMO, MAX_MEMO_BYTES = 600_000, 16 << 20  # pieces in each of two generations, and their bytes
+MAX_MEMO, MAX_MEMO_BYTES = 300_000, 16 << 20  # pieces in each of two generations, and their bytes
 LONG_PIECE = 256  # bytes beyond which nothing of a piece is kept
 _NEVER = 1 << 60
 _SHORT = (3, 2, 1)
@@ -387,10 +387,9 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
 def counter(path: str | None) -> Counter:
     """One counter per worker process; the file is found where the worker runs."""
-    return Counter(path or default_path())
+    return resident(("counter", path), lambda: Counter(path or default_path()))
 
 
 def with_token_counts(df: DataFrame, text_col: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:

@@ -27,7 +27,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Texts, Words, appended, as_texts, new_path, ragged, two_columns
+from ._shared import Texts, Words, appended, as_texts, new_path, ragged, resident, two_columns
 
 MAX_MEMO, MAX_MEMO_BYTES = 700_000, 32 << 20
 LONG_WORD = 256  # bytes beyond which a stretch is not remembered
@@ -171,9 +170,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str | None) -> Encoder:
-    return Encoder(path or default_path())
+    return resident(("encoder", path), lambda: Encoder(path or default_path()))
 
 
 def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, row_index_stride: int = 1000, bloom_fpp: float = 0.01) -> None:

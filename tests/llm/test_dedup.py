@@ -309,3 +309,23 @@ def test_staged_tables_are_deleted(spark):
     assert out.count() == 40
     release(spark)
     assert not os.path.exists(_application_dir(spark))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_marks_miss_no_id(spark, bits):
+    from quillstone.llm._shared import marked
+
+    df = spark.range(3000).selectExpr("if(id % 100 = 0, null, id) AS doc_id", "id AS other")
+    ids = spark.range(0, 3000, 7).withColumnRenamed("id", "doc_id")
+    rows = marked(df, "doc_id", ids, bits).collect()
+    assert len(rows) == 3000 and all(r.maybe for r in rows if r.doc_id is not None and r.doc_id % 7 == 0)
+    assert bits == 64 or sum(r.maybe for r in rows) < 450
+
+
+def test_drop_copies_keeps_all_columns(spark):
+    docs = near_docs(2, 60)
+    df = cases.frame(spark, [*docs, (None, "no id"), (None, "no id")]).withColumnRenamed("hit_flags", "maybe")
+    label = groups(docs, 80)
+    out = near_dedup.drop_copies(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == sorted([(i or -1, t) for i, t in docs if label[i] == i] + [(-1, "no id")] * 2)
