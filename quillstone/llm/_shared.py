@@ -165,10 +165,6 @@ class Words:
         return distinct(self._kept, self.sizes)
 
 
-def distinct(self) -> tuple[np.ndarray, list[bytes]]:
-        return distinct(self._kept, self.ends - self.begins)
-
-
 def distinct(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Of strings that stand one after the other in ``data``: the number of each among the different ones, and these."""
     offsets = np.zeros(len(sizes) + 1, np.int32)
