@@ -35,7 +35,7 @@ from ._shared import Keyed, Texts, Trie, Words, as_texts, resident, two_columns,
 
 FIT_DOCS, FIT_LANGUAGES, FIT_ROUNDS, FOLDS = 200, 200, 3, 5
 FLOOR = 1e-8  # of a letter for which the vocabulary has no piece
-MAX_MEMO, MAX_MEMO_BYTES = 300_000, 16 << 20  # words remembered, and their bytes
+MAX_MEMO, MAX_MEMO_BYTES = 120_000, 8 << 20  # words remembered, and their bytes
 LONG_WORD = 256  # bytes beyond which a word is not remembered
 LOCKSTEP = 28  # letters up to which no product can underflow
 CELLS = 8 << 20  # of words times languages that are handled at a time
